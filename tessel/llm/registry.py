@@ -41,8 +41,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessel.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_ids, op4_best_fit_packing, op5_byte_bpe]
+    found = [op1_token_ids, op4_best_fit_packing, op5_byte_bpe, op8_simhash]
     return {f.__name__: f for f in found}
 
 
