@@ -41,6 +41,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessel.llm import substrings
+
+    return substrings.remove_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessel.llm import simhash
 
@@ -48,7 +54,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_ids, op4_best_fit_packing, op5_byte_bpe, op8_simhash]
+    found = [op1_token_ids, op4_best_fit_packing, op5_byte_bpe, op7_substring_dedup, op8_simhash]
     return {f.__name__: f for f in found}
 
 
