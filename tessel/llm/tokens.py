@@ -1,9 +1,9 @@
 """Byte-level BPE through the tokenizers library, with a memo of word pieces.
 
-A text is cut only where both vocabularies' own patterns always cut: before a space that
-stands between two other characters, and around white space. Each piece is encoded once
-per worker and looked up afterwards. Pieces of Latin letters go straight to the library's
-BPE model in byte characters; all others go through its whole pipeline.
+A Latin-1 text is cut by the vocabulary's own pattern; any other only where that pattern
+always cuts: before a space between two other characters, and around white space. Each piece
+is encoded once per worker and looked up afterwards. Pieces of Latin letters go straight to
+the library's BPE model in byte characters; all others go through its whole pipeline.
 """
 
 from __future__ import annotations
@@ -22,6 +22,14 @@ MEMO = 250_000
 
 # The code points with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# The vocabularies' patterns over Latin-1, where \\w is letters, digits, these numbers and _.
+_L, _N, _S = "[^\\W\\d_²³¹¼½¾]", "[\\d²³¹¼½¾]", "\\t-\\r \\x85\\xa0"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+PLAIN_BYTES = re.compile(f"{_ENDINGS}| ?{_L}+| ?{_N}+| ?(?:[^\\w{_S}]|_)+|[{_S}]+(?![^{_S}])|[{_S}]+")
+PLAIN_WORDS = re.compile(f"{_ENDINGS}|{_L}+|{_N}|(?:[^\\w{_S}]|_)+")
+#: The patterns that these two stand for; any other pattern serves as it is.
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Below this code point every Unicode version agrees on letters and digits.
 LATIN = "ɐ"
@@ -53,48 +61,58 @@ def to_bytes(chars: str) -> bytes:
     return bytes(_TO_BYTES[c] for c in chars)
 
 
+class Memo(dict):
+    """Ids by piece. A full memo keeps what it has, and starts anew after as many misses again."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+        self.missed = 0
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(self) < MEMO:
+            self[piece] = ids
+        else:
+            self.missed += 1
+            if self.missed > 8 * MEMO:
+                self.missed = 0
+                self.clear()
+        return ids
+
+
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids. Null and empty texts have none."""
+    """Encodes texts to little-endian unsigned 32-bit ids. Null and empty texts have none.
+
+    plain: the tokenizer's own pattern as Python's re has it for Latin-1 texts, whose matches
+    go straight to the model; other texts are cut into coarser pieces.
+    """
 
-    def __init__(self, tokenizer, pattern: str, normalize: bool, keep_white: bool):
+    def __init__(self, tokenizer, pattern: str, normalize: bool):
         self.tok = tokenizer
-        self.model = tokenizer.model
         self.pattern = regex.compile(pattern)
+        self.plain = {WORD_PATTERN: PLAIN_WORDS, BYTE_PATTERN: PLAIN_BYTES}.get(pattern, self.pattern)
         self.normalize = normalize
-        self.keep_white = keep_white
-        self.memo: dict[str, bytes] = {}
+        model = tokenizer.model.tokenize
+        self.tokens = Memo(lambda token: np.array([t.id for t in model(to_characters(token.encode()))], dtype="<u4").tobytes())
+        self.pieces = Memo(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() or max(piece) < LATIN:
             if self.normalize:
                 piece = unicodedata.normalize("NFC", piece).lower()
-            tokenize = self.model.tokenize
-            ids = [t.id for part in self.pattern.findall(piece) for t in tokenize(to_characters(part.encode()))]
-        else:
-            ids = self.tok.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+            return b"".join(map(self.tokens.__getitem__, self.pattern.findall(piece)))
+        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def parts(self, text: str | None) -> list[bytes]:
+    def ids(self, text: str | None) -> bytes:
         if not text:
-            return []
-        pieces = PIECE.findall(text) if self.keep_white else text.split(" ")
-        memo = self.memo
+            return b""
         try:
-            return [memo[p] for p in pieces]
-        except KeyError:
-            pass
-        out = []
-        for p in pieces:
-            ids = memo.get(p)
-            if ids is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                ids = memo[p] = self._piece(p)
-            out.append(ids)
-        return out
-
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(self.parts(text))
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pieces = text.split(" ") if self.normalize else PIECE.findall(text)
+            return b"".join(map(self.pieces.__getitem__, pieces))
+        return b"".join(map(self.tokens.__getitem__, self.plain.findall(text.lower() if self.normalize else text)))
 
 
 @functools.lru_cache(maxsize=4)
@@ -111,10 +129,8 @@ def library_encoder(path: str) -> PieceEncoder:
     steps = pre.get("pretokenizers", [pre])
     split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
     if split is None:
-        import public_tokenizers
-
-        split = public_tokenizers.PATTERN
-    return PieceEncoder(tok, split, normalize=spec["normalizer"] is not None, keep_white=spec["normalizer"] is None)
+        split = BYTE_PATTERN
+    return PieceEncoder(tok, split, normalize=spec["normalizer"] is not None)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -147,7 +163,7 @@ def rank_encoder(path: str, pattern: str) -> PieceEncoder:
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ]
     )
-    return PieceEncoder(tok, pattern, normalize=False, keep_white=True)
+    return PieceEncoder(tok, pattern, normalize=False)
 
 
 class ByteDecoder:
