@@ -41,6 +41,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessel.llm import rabitq
+
+    return rabitq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessel.llm import substrings
 
@@ -53,8 +59,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessel.llm import multiindex
+
+    return multiindex.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_ids, op4_best_fit_packing, op5_byte_bpe, op7_substring_dedup, op8_simhash]
+    found = [op1_token_ids, op4_best_fit_packing, op5_byte_bpe, op6_embedding_near_dedup, op7_substring_dedup, op8_simhash, op10_nearest_neighbours]
     return {f.__name__: f for f in found}
 
 
