@@ -28,6 +28,13 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_token_ids(dac.write_token_ids(table(spark, sf_dir, "documents"), encoder, end_id=2))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessel.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessel.llm import bpe, packing
 
@@ -59,6 +66,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessel.llm import chat
+
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessel.llm import multiindex
 
@@ -66,7 +79,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_ids, op4_best_fit_packing, op5_byte_bpe, op6_embedding_near_dedup, op7_substring_dedup, op8_simhash, op10_nearest_neighbours]
+    found = [op1_token_ids, op3_language_id, op4_best_fit_packing, op5_byte_bpe, op6_embedding_near_dedup, op7_substring_dedup, op8_simhash, op9_chat_format, op10_nearest_neighbours]
     return {f.__name__: f for f in found}
 
 
