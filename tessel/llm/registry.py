@@ -28,6 +28,12 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_token_ids(dac.write_token_ids(table(spark, sf_dir, "documents"), encoder, end_id=2))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessel.llm import pages
+
+    return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessel.llm import language
 
@@ -79,7 +85,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_ids, op3_language_id, op4_best_fit_packing, op5_byte_bpe, op6_embedding_near_dedup, op7_substring_dedup, op8_simhash, op9_chat_format, op10_nearest_neighbours]
+    found = [op1_token_ids, op2_html_text, op3_language_id, op4_best_fit_packing, op5_byte_bpe, op6_embedding_near_dedup, op7_substring_dedup, op8_simhash, op9_chat_format, op10_nearest_neighbours]
     return {f.__name__: f for f in found}
 
 
