@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessel.llm.common import short_batches
 
@@ -202,13 +203,13 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             head = batch.columns if keep else batch.columns[:2]
-            yield pa.RecordBatch.from_arrays([*head, *predict(batch.column(len(batch.columns) - 1 if not keep else text_at).to_pylist())], names=names)
+            yield pa.RecordBatch.from_arrays([*head, *predict(batch.column(text_at).to_pylist())], names=names)
 
     short_batches(docs.sparkSession)
     if keep:
         text_at, names = docs.columns.index(text_col), [*docs.columns, "lang_pred", "score"]
-        schema = docs.schema.add("lang_pred", "string").add("score", "double")
+        schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
         return docs.mapInArrow(run, schema)
-    names = ["doc_id", "held_out", "lang_pred", "score"]
+    text_at, names = 2, ["doc_id", "held_out", "lang_pred", "score"]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessel.llm.common import Written, short_batches
 
@@ -189,7 +190,9 @@ class FingerprintIndex:
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def _cut(window: int, texts: bool):
+def _cut(window: int, texts: bool, carry: int):
+    """doc_id, text, begins, counts and ``carry`` further columns in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digests, kept_texts = [], [], [], []
@@ -207,16 +210,17 @@ def _cut(window: int, texts: bool):
                 n_removed.append(len(words) - len(kept))
                 digests.append(hashlib.sha256(joined).hexdigest())
                 kept_texts.append((text if not begins else joined.decode("utf-8", "surrogatepass")) if texts else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-            )
+            found = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[4 : 4 + carry]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(f"carried_{k}" for k in range(carry))])
 
     return run
 
 
-def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and kept (the text, untouched where nothing goes) if asked for.
 
+    carry: further columns of docs to return beside these.
+
     The table goes through the index in ``batches`` batches of ascending ids, split at
     approximate quantiles; where they are split doesn't change the result.
     """
@@ -235,6 +239,9 @@ def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, i
         spans = index.add(batch, seen)
         found = spans if found is None else found.unionByName(spans)
     spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
-    joined = rows.join(spans, "doc_id", "left").select("doc_id", "text", "spans.begin", "spans.n")
-    out = joined.mapInArrow(_cut(window, texts), RESULT)
+    carry = carry or []
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
+    joined = whole.join(spans, "doc_id", "left").select("doc_id", "text", "spans.begin", "spans.n", *(f"carried_{k}" for k in range(len(carry))))
+    schema = StructType(StructType.fromDDL(RESULT).fields + [StructField(f"carried_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)])
+    out = joined.mapInArrow(_cut(window, texts, len(carry)), schema).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
     return out if texts else out.drop("kept")
