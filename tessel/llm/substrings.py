@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessel.llm.common import Written, short_batches
+from tessel.llm.common import Written, short_batches, written
 
 WINDOW = 50
 #: Runs that stay side by side before they are merged.
@@ -173,9 +173,10 @@ class FingerprintIndex:
             .where("first < last and some_new")
             .select("anchor", "differ")
         )
-        met = Written(rows.join(shared, "anchor"), "met")
+        # Written first, the small sides leave both sides of their joins to be split where a key is hot.
+        met = Written(rows.join(written(shared, "shared"), "anchor"), "met")
         same = met.df.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("holder"))
-        flagged = met.df.join(same, ["anchor", "stretch"])
+        flagged = met.df.join(written(same, "holders"), ["anchor", "stretch"])
         whole = flagged.where("new and doc_id > holder").select("doc_id", "begin", "n")
         # Where one anchor stands in different stretches, the first holder of each shows its windows.
         asked = flagged.where("differ and doc_id = holder").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "n")).alias("asked"))
@@ -183,7 +184,7 @@ class FingerprintIndex:
         short_batches(stored.sparkSession)
         windows = Written(texts.select("doc_id", "text", "asked").mapInArrow(_window_rows(self.window), "window binary, doc_id long, begin int"), "windows")
         owners = windows.df.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
-        single = windows.df.join(owners, "window").where("doc_id > owner").select("doc_id", "begin", F.lit(1).alias("n"))
+        single = windows.df.join(written(owners, "owners"), "window").where("doc_id > owner").select("doc_id", "begin", F.lit(1).alias("n"))
         return Written(whole.unionByName(single), "duplicated").df
 
 
