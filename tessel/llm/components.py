@@ -1,7 +1,9 @@
 """Connected components over a table of links, without gathering it anywhere.
 
 Large-star and small-star rounds: a round joins every neighbour to the smallest one, so
-paths halve; each round is a written table, and the table before it is removed.
+paths halve; each round is a written table, and the table before it is removed. The smallest
+neighbours are written before they are joined, so that a node with very many links can be
+split between tasks.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written
+from tessel.llm.common import Written, written
 
 #: A guard against a defect, far above log2 of any number of nodes.
 MOST_ROUNDS = 64
@@ -17,12 +19,12 @@ MOST_ROUNDS = 64
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = written(edges.groupBy("hi").agg(F.min("lo").alias("m")), "least")
     moved = edges.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
@@ -39,8 +41,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MOST_ROUNDS):
         if not mark[0]:
             break
-        after = Written(_small_star(_large_star(now.df)), "links")
+        large = Written(_large_star(now.df), "large-star")
+        after = Written(_small_star(large.df), "links")
         now.drop()
+        large.drop()
         now, before, mark = after, mark, _mark(after.df)
         if mark == before:
             break

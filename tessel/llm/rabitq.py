@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, short_batches
+from tessel.llm.common import Written, short_batches, written
 from tessel.llm.components import components
 from tessel.llm.simhash import Union
 from tessel.llm.vectors import by_dimension, matrix, rotation, unit, usable, vector_key
@@ -154,7 +154,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     spread = coded.select("*", F.posexplode("bands").alias("tbl", "band")) if bits else coded.withColumns({"tbl": F.lit(0), "band": F.lit(0)})
     place = ["label", "dim", "tbl", "band"]
     many = spread.groupBy(*place).count().select(*place, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocked = spread.join(many, place).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    blocked = spread.join(written(many, "vector-blocks"), place).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
     sent = blocked.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     sent = sent.select("*", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     short_batches(vectors.sparkSession, 1024)
