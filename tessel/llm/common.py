@@ -1,13 +1,13 @@
-"""What the corpus operators share: tables, the shared work folder, written intermediates."""
+"""What the corpus operators share: tables, short Arrow batches, written intermediates."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tessel.work import Written, delete, shared_dir, written
+
+__all__ = ["TEXT_ROWS", "Written", "delete", "shared_dir", "short_batches", "table", "written"]
+
 #: Rows of a text table handed to a Python worker at once. Texts may be long, so the
 #: batches are short: 128 texts of 100 kB stay near 13 MB.
 TEXT_ROWS = 128
@@ -20,69 +20,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def short_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bounds the Arrow batches between the JVM and Python for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``.
-
-    Where the setting is missing (local runs, tests) the driver's temporary folder serves.
-    """
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="tessel-")
-            _remove_at_exit(spark, _local[app])
-        base = _local[app]
-    else:
-        _remove_at_exit(spark, f"{base.rstrip('/')}/tessel-{app}")
-    return f"{base.rstrip('/')}/tessel-{app}"
-
-
-_planned: set[str] = set()
-
-
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
-    if path in _planned:
-        return
-    _planned.add(path)
-
-    def remove() -> None:
-        try:
-            delete(spark, path)
-        except Exception:  # the JVM may be gone already; the folder's owner cleans up then
-            return
-
-    atexit.register(remove)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-class Written:
-    """A table written to the shared folder: cuts the lineage and survives lost executors."""
-
-    def __init__(self, df: DataFrame, name: str, sort: list[str] | None = None):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        if sort:
-            df = df.sortWithinPartitions(*sort)
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.schema = df.schema
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete(self.spark, self.path)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    return Written(df, name).df
