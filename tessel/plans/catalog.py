@@ -428,7 +428,7 @@ def union_dense_value(spark, d):
 _WORDS = "(SELECT value, row_number() OVER (ORDER BY f) - 1 AS i FROM (SELECT event_type AS value, min(event_id) AS f FROM events WHERE event_type <> 'click' GROUP BY 1))"
 
 
-@query(f"SELECT event_id, cast(i AS bigint) AS \"index\" FROM events LEFT JOIN {_WORDS} w ON event_type = value")
+@query(f"SELECT event_id, cast(i AS bigint) AS \"index\" FROM events LEFT JOIN {_WORDS} w ON event_type = w.value")
 def dictionary_encode(spark, d):
     df = t(spark, d, "events").select("event_id", F.nullif("event_type", F.lit("click")).alias("event_type"))
     return nested.dictionary_encode(df, "event_type", "event_id")[0]
