@@ -4,7 +4,8 @@ Encoding works on byte characters: every byte of a text has a printable characte
 tokenizers library merges those, and the offsets of the ids count bytes. Decoding reverses
 the byte table; an id may end inside a character, so only whole texts become strings.
 
-Cases: null and empty texts have no ids and decode to no bytes; any string of Spark is
+Cases: null and empty texts have no ids and decode to no bytes; null and repeated document ids
+keep their rows; any string of Spark is
 valid UTF-8 and returns unchanged; an empty table gives an empty result.
 """
 
@@ -18,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import short_batches
+from tessel.llm.common import columns, short_batches
 from tessel.llm.tokens import rank_decoder, rank_encoder
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def encode_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (array of int), offsets (first byte of each id in the text's UTF-8)."""
 
@@ -35,7 +40,7 @@ def encode_bpe(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             )
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
 
 
 def decode_bpe(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -72,7 +77,7 @@ def bpe_digest(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
             )
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, DIGEST)
+    return _rows(docs, id_col, text_col).mapInArrow(run, DIGEST)
 
 
 class Decimals(dict):

@@ -4,7 +4,8 @@ A legal conversation is at most one system turn, then user and assistant turns i
 alternation, the last by the assistant. Dynamic programming over the automaton of those
 turns decides for every given turn: keep its role, give it another (relabel), or join it to
 the turn before it (merge), and where to put empty turns (insert), at the least total cost;
-ties go to the first option in the order keep, merge, insert, relabel. The result has one
+ties are settled from the last turn back, for the option that costs less itself, then in the
+order keep, merge, insert, relabel. The result has one
 row per given turn with its share of the rendering; the shares of a conversation, in order,
 are its whole rendering.
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written
+from tessel.llm.common import Written, columns
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn.
@@ -42,7 +43,7 @@ BETWEEN: dict[tuple[int, int], tuple[int, ...]] = {
 }
 #: Turns to put in after the last one.
 CLOSING: dict[int, tuple[int, ...]] = {START: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
-MERGE, INSERT, RELABEL = 1, 2, 3
+MERGE, INSERT, RELABEL = 1, 2, 4
 STRETCH = 4096
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -151,7 +152,8 @@ def _role(value: object) -> str | None:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """One row per turn: conv_id, turn, nth (from 0), role_given, role, action, rendered."""
     stretch = F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-1)).cast("long")
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).withColumn("stretch", stretch)
+    rows = columns(turns, conv_id="conv_id", turn="turn", role="role", text="text")
+    rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).withColumn("stretch", stretch)
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf)

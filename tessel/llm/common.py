@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessel.work import Written, delete, shared_dir, written
 
-__all__ = ["TEXT_ROWS", "Written", "delete", "shared_dir", "short_batches", "table", "written"]
+__all__ = ["TEXT_ROWS", "Written", "columns", "delete", "plain", "shared_dir", "short_batches", "table", "written"]
 
 #: Rows of a text table handed to a Python worker at once. Texts may be long, so the
 #: batches are short: 128 texts of 100 kB stay near 13 MB.
@@ -17,6 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(df: DataFrame, **known: str) -> tuple[DataFrame, list[str]]:
+    """The columns under names that can't clash, and their old names in order.
+
+    known: new name = name in df, found exactly or else as the only one alike but for case.
+    The other columns get numbers, so whatever they are called, no operator meets them.
+    """
+    old = df.columns
+    at = {}
+    for new, name in known.items():
+        same = [k for k, c in enumerate(old) if c == name] or [k for k, c in enumerate(old) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"no column {name}")
+        at[same[0]] = new
+    return df.toDF(*(at.get(k, f"other_{k}") for k in range(len(old)))), old
+
+
+def columns(df: DataFrame, **known: str) -> DataFrame:
+    """Only the known columns, under their new names."""
+    return plain(df, **known)[0].select(*known)
+
+
 def short_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bounds the Arrow batches between the JVM and Python for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ into the position on the next. Any id is found by as many look-ups as it has chu
 block is decoded. Segments are rows of Parquet files in ascending order of (doc_id, text),
 so any store that Spark can write to holds them, and a lost task is simply written again.
 
-Cases: a null text counts as empty and has only the end id; repeated ids of documents keep
+Cases: a null text counts as empty and has only the end id; null ids come first and stay null; repeated ids of documents keep
 all their rows, ordered by text; an empty table gives no segment and no row; columns other
 than the id and the text are ignored.
 """
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, short_batches
+from tessel.llm.common import Written, columns, short_batches
 
 MAGIC = b"TDAC0001"
 CHUNK_BITS = 8
@@ -37,9 +37,10 @@ def _pack(*arrays: np.ndarray) -> list[bytes]:
     return [a.tobytes() for a in arrays]
 
 
-def encode_segment(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
-    """doc_ids: signed 64-bit; starts: first position of each document; ids: unsigned 32-bit."""
-    parts = _pack(doc_ids.astype("<i8"), starts.astype("<i8"))
+def encode_segment(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> bytes:
+    """doc_ids: signed 64-bit or null; starts: first position of each document; ids: unsigned 32-bit."""
+    null = np.packbits([d is None for d in doc_ids], bitorder="little")
+    parts = _pack(np.array([d or 0 for d in doc_ids], dtype="<i8"), null, starts.astype("<i8"))
     levels, rest = [], ids.astype(np.uint32)
     while True:
         more = rest >> CHUNK_BITS
@@ -74,7 +75,9 @@ class Segment:
             at += out.nbytes
             return out
 
-        self.doc_ids, self.starts = take("<i8", self.n_docs), take("<i8", self.n_docs)
+        ids, null = take("<i8", self.n_docs), np.unpackbits(take("u1", -(-self.n_docs // 8)), count=self.n_docs, bitorder="little")
+        self.doc_ids = [None if n else d for d, n in zip(ids.tolist(), null.tolist())]
+        self.starts = take("<i8", self.n_docs)
         self.levels = [(take("u1", n), take("u1", b), take("<u4", d)) for n, b, d in sizes]
 
     def _rank(self, level: int, position: int) -> int:
@@ -114,9 +117,9 @@ class Segment:
             end = begin + len(where)
         return out
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         ends = np.append(self.starts[1:], self.n_ids)
-        for doc_id, begin, end in zip(self.doc_ids.tolist(), self.starts.tolist(), ends.tolist()):
+        for doc_id, begin, end in zip(self.doc_ids, self.starts.tolist(), ends.tolist()):
             yield doc_id, begin, self.slice(begin, end)
 
 
@@ -128,14 +131,14 @@ def _segments(encoder: Callable, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment = TaskContext.get().partitionId(), 0
         encode, end = encoder(), np.array([end_id], "<u4").tobytes()
-        docs: list[int] = []
+        docs: list[int | None] = []
         data: list[bytes] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(x) // 4 for x in data], dtype=np.int64)
             starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-            blob = encode_segment(np.array(docs, dtype=np.int64), starts, np.frombuffer(b"".join(data), "<u4"))
+            blob = encode_segment(docs, starts, np.frombuffer(b"".join(data), "<u4"))
             return pa.RecordBatch.from_pydict(
                 {"part": pa.array([part], pa.int32()), "segment": pa.array([segment], pa.int32()), "first_doc": pa.array([docs[0]], pa.int64()), "n_ids": pa.array([size], pa.int64()), "blob": pa.array([blob], pa.binary())}
             )
@@ -164,7 +167,7 @@ def write_token_ids(docs: DataFrame, encoder: Callable, end_id: int, id_col: str
     32-bit ids. Texts are dealt by ranges of (id, hash of text), so equal ids may still spread.
     """
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = columns(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     ordered = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     return Written(ordered.mapInArrow(_segments(encoder, end_id), SEGMENTS), "token-ids")
 

@@ -11,7 +11,7 @@ out evenly among the languages; prediction reads whole texts.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, and so is every text
 if there are no labelled rows; one learned language is always predicted with score 1; rows
-that repeat an id each get a row; an empty table gives an empty result; other columns are
+that repeat an id, or have none, each get a row (a null id isn't held out); an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessel.llm.common import short_batches
+from tessel.llm.common import columns, plain, short_batches
 
 UNKNOWN = "und"
 FEATURES = 4096
@@ -171,6 +171,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits a model on labelled rows that aren't held out, about ``sample`` of them."""
+    docs = columns(docs, doc_id=id_col, text=text_col, lang=lang_col)
+    id_col, text_col, lang_col = "doc_id", "text", "lang"
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}  # a row for each language
     if not counts:
@@ -194,7 +196,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; or, with keep, all columns of docs and the last two."""
+    """doc_id, held_out, lang_pred, score for every row; or, with keep, all columns of docs (named as by ``plain``) and the last two."""
 
     def predict(texts: list[str | None]) -> list[pa.Array]:
         lang, score = model.predict(texts) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
@@ -206,10 +208,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([*head, *predict(batch.column(text_at).to_pylist())], names=names)
 
     short_batches(docs.sparkSession)
+    docs, _ = plain(docs, doc_id=id_col, text=text_col)
     if keep:
-        text_at, names = docs.columns.index(text_col), [*docs.columns, "lang_pred", "score"]
+        text_at, names = docs.columns.index("text"), [*docs.columns, "lang_pred", "score"]
         schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
         return docs.mapInArrow(run, schema)
     text_at, names = 2, ["doc_id", "held_out", "lang_pred", "score"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -11,7 +11,7 @@ counts has a fixed size); a cell that holds more is spread over several. Copies
 are one entry that lists its smallest ids, as many as a result can use. Queries go to the
 shards of their cells in blocks, so a task holds one shard and one block.
 
-Cases: vectors that are null, empty, zero or hold null or non-finite components are neither
+Cases: rows without a vec_id, and vectors that are null, empty, zero or hold null or non-finite components are neither
 entries nor queries; vectors of another dimension than the query are no candidates; fewer
 candidates than k give fewer rows; an empty table gives an empty result. Rows that repeat a
 vec_id are candidates of one another only under different ids.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, short_batches
+from tessel.llm.common import Written, columns, short_batches
 from tessel.llm.vectors import by_dimension, matrix, unit, usable, vector_key
 
 CODES = 32
@@ -130,8 +130,8 @@ def _top(scores: np.ndarray, ids: list, query_ids: np.ndarray, k: int) -> Iterat
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50, visit: float = VISIT, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
-    good = rows.where(usable("embedding")).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), *vector_key("embedding"), F.size("embedding").cast("int").alias("dim"))
+    rows = columns(vectors, vec_id=id_col, embedding=vector_col).withColumn("vec_id", F.col("vec_id").cast("long"))
+    good = rows.where(usable("embedding") & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), *vector_key("embedding"), F.size("embedding").cast("int").alias("dim"))
     ranked = good.withColumn("nth", F.row_number().over(Window.partitionBy("dim", "k1", "k2").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     classes = ranked.groupBy("dim", "k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
     entries = Written(classes.select("dim", "ids", "embedding"), "entries").df

@@ -8,7 +8,7 @@ most tightly; the pattern is used as often as its lengths last. The pieces then
 places by their rank within their length, which is a count per partition plus an offset.
 
 Cases: a null text is empty and has only the end id; texts longer than the capacity are
-cut, the first piece being the shorter one; equal ids keep all their rows; an empty table
+cut, the first piece being the shorter one; null and equal ids keep all their rows; an empty table
 gives no piece.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, short_batches
+from tessel.llm.common import Written, columns, short_batches
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place long"
 
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, encoder: Callable, end_id: int, capacity: int = 1024,
     """One row per piece with its sequence and its offset there."""
     spark = docs.sparkSession
     short_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
+    rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     pieces = Written(rows.mapInArrow(_pieces(encoder, end_id, capacity), PIECES), "pieces").df
     by_part = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(capacity + 1, np.int64)

@@ -8,8 +8,8 @@ blocks of the chosen elements are the result, in page order.
 
 Cases: null, empty and textless pages give an empty text; unclosed and misplaced tags are
 repaired as browsers do; a line break inside a block is white space; text that stands
-directly in the body counts only if nothing else does; rows that repeat a page_id each get
-a row; an empty table gives an empty result; other columns are ignored.
+directly in the body counts only if nothing else does; rows that repeat a page_id, or have
+none, each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import short_batches
+from tessel.llm.common import columns, short_batches
 from tessel.llm.dom import INLINE, VOID, Page, attributes
 from tessel.llm.trees import BoostedTrees
 
@@ -162,4 +162,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
             )
 
     short_batches(pages.sparkSession)
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = columns(pages, page_id="page_id", url="url", html="html")
+    return rows.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string, n_chars long")

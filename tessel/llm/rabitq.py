@@ -13,7 +13,8 @@ rows meet in tables of a few sign bits, with as many tables as keep the chance t
 pair at the threshold under ``miss``. A pair counts in the first table that holds it.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and null
-labels, link with nothing and keep their row; rows that repeat a vec_id each get a row;
+labels, link with nothing and keep their row; rows that repeat a vec_id each get a row and share the count and the component; a row without a
+vec_id links with nothing, has no component and isn't kept;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, short_batches, written
+from tessel.llm.common import Written, columns, short_batches, written
 from tessel.llm.components import components
 from tessel.llm.simhash import Union
 from tessel.llm.vectors import by_dimension, matrix, rotation, unit, usable, vector_key
@@ -143,8 +144,8 @@ def _compare(threshold: float):
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).alias("label"))
-    good = rows.where(usable("embedding") & F.col("label").isNotNull())
+    rows = columns(vectors, vec_id=id_col, embedding=vector_col, label=label_col).withColumn("vec_id", F.col("vec_id").cast("long"))
+    good = rows.where(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     keyed = good.select("vec_id", "label", *vector_key("embedding"), "embedding")
     grouped = keyed.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     classes = Written(grouped.withColumn("dim", F.size("embedding").cast("int")), "vector-classes").df
@@ -165,7 +166,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     ends = Written(
         ends.select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")).where("n_links > 0"), "vector-components"
     ).df
-    every = rows.select("vec_id", "label", F.when(usable("embedding"), F.xxhash64("embedding")).alias("k1"), F.xxhash64(F.lit("second"), F.col("embedding")).alias("k2"))
+    every = rows.select("vec_id", "label", F.when(usable("embedding") & F.col("vec_id").isNotNull(), F.xxhash64("embedding")).alias("k1"), F.xxhash64(F.lit("second"), F.col("embedding")).alias("k2"))
     return every.join(ends, ["label", "k1", "k2"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component_id", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept")
     )

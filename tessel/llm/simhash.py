@@ -12,7 +12,7 @@ fewer than it has rows. Copies are one fingerprint from the start.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero, which links
 like any other; texts of fewer words than a shingle are one shingle; rows that repeat an id
-each get a row; an empty table gives an empty result; other columns are ignored.
+each get a row and are one node of the components; a null id has a fingerprint but no component, and links with nothing; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, short_batches
+from tessel.llm.common import Written, columns, short_batches
 from tessel.llm.components import components
 
 SHINGLE = 3
@@ -71,7 +71,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     short_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 class VantageTree:
@@ -199,8 +200,9 @@ def near_links(classes: DataFrame, reach: int = REACH, shard: int = SHARD, sampl
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable)."""
     found = Written(fingerprints(docs, id_col, text_col), "fingerprints").df
-    classes = Written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes").df
+    classes = Written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes").df
     links = components(near_links(classes, reach))
     joined = classes.join(links, classes["rep"] == links["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     by_class = Written(joined, "fingerprint-components").df
-    return found.join(by_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    return found.join(by_class, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)

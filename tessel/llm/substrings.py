@@ -15,8 +15,7 @@ compared by 128 bits of its words.
 
 Cases: null, empty and short texts have no window; white space is the ASCII one only and
 words stay as they are; within one document nothing is removed for its own repeats; rows
-that repeat a doc_id are treated as one document's ties and never remove one another's
-words; an empty table gives an empty result; other columns are ignored.
+that repeat a doc_id are forms of one document and never remove one another's words; a document without an id is no other's copy and stays whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessel.llm.common import Written, short_batches, written
+from tessel.llm.common import Written, plain, short_batches, written
 
 WINDOW = 50
 #: Runs that stay side by side before they are merged.
@@ -80,15 +79,16 @@ def stretches(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.
     return inner[chosen[begins]], begins, counts
 
 
-RUN = "anchor long, stretch long, doc_id long, begin int, n int"
+#: form: a hash of the text, which tells apart rows that repeat a doc_id.
+RUN = "anchor long, stretch long, doc_id long, form long, begin int, n int"
 
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for batch in batches:
-            docs, anchors, whole, begins, counts = [], [], [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            docs, forms, anchors, whole, begins, counts = [], [], [], [], [], []
+            for doc_id, text, form in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 words = words_of(text)
                 anchor, begin, n = stretches(words, window)
                 if not len(anchor):
@@ -102,23 +102,24 @@ def _anchor_rows(window: int):
                 begins.append(begin)
                 counts.append(n)
                 docs.append(np.full(len(begin), doc_id, np.int64))
+                forms.append(np.full(len(begin), form, np.int64))
             if docs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(whole).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
-                    names=["anchor", "stretch", "doc_id", "begin", "n"],
+                    [pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(whole).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(forms)), pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
+                    names=["anchor", "stretch", "doc_id", "form", "begin", "n"],
                 )
 
     return run
 
 
 def _window_rows(window: int):
-    """Hashes of the windows asked for: doc_id, text, begins and counts in; one row per window out."""
+    """Hashes of the windows asked for: doc_id, form, text, begins and counts in; one row per window out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, found, at = [], [], []
-            for doc_id, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            ids, forms, found, at = [], [], [], []
+            for doc_id, form, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words = words_of(text)
                 joined = b" ".join(words)
                 ends = np.cumsum([len(w) + 1 for w in words])
@@ -127,7 +128,8 @@ def _window_rows(window: int):
                 found += [h(joined[first[p] : ends[p + window - 1] - 1]) for p in places]
                 at += places
                 ids += [doc_id] * len(places)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())], names=["window", "doc_id", "begin"])
+                forms += [form] * len(places)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.int64()), pa.array(forms, pa.int64()), pa.array(at, pa.int32())], names=["window", "doc_id", "form", "begin"])
 
     return run
 
@@ -140,13 +142,13 @@ class FingerprintIndex:
         self.runs: list[Written] = []
 
     def add(self, docs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-        """Indexes the batch; returns its duplicated stretches of windows: doc_id, begin, n.
+        """Indexes the batch; returns its duplicated stretches of windows: doc_id, form, begin, n.
 
-        docs, stored: doc_id and text of the batch, and of all documents that the index has
+        docs, stored: doc_id, text and form of the batch, and of all documents that the index has
         seen, the batch included (by default the batch alone); texts are read from there.
         """
         stored = docs if stored is None else stored
-        new = Written(docs.select("doc_id", "text").mapInArrow(_anchor_rows(self.window), RUN), "anchors", sort=["anchor"])
+        new = Written(docs.select("doc_id", "text", "form").mapInArrow(_anchor_rows(self.window), RUN), "anchors", sort=["anchor"])
         union = new.df.withColumn("new", F.lit(True))
         for old in self.runs:
             union = union.unionByName(old.df.withColumn("new", F.lit(False)))
@@ -177,22 +179,22 @@ class FingerprintIndex:
         met = Written(rows.join(written(shared, "shared"), "anchor"), "met")
         same = met.df.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("holder"))
         flagged = met.df.join(written(same, "holders"), ["anchor", "stretch"])
-        whole = flagged.where("new and doc_id > holder").select("doc_id", "begin", "n")
+        whole = flagged.where("new and doc_id > holder").select("doc_id", "form", "begin", "n")
         # Where one anchor stands in different stretches, the first holder of each shows its windows.
-        asked = flagged.where("differ and doc_id = holder").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "n")).alias("asked"))
-        texts = stored.select("doc_id", "text").join(asked, "doc_id")
+        asked = flagged.where("differ and doc_id = holder").groupBy("doc_id", "form").agg(F.collect_list(F.struct("begin", "n")).alias("asked"))
+        texts = stored.select("doc_id", "form", "text").join(asked, ["doc_id", "form"])
         short_batches(stored.sparkSession)
-        windows = Written(texts.select("doc_id", "text", "asked").mapInArrow(_window_rows(self.window), "window binary, doc_id long, begin int"), "windows")
+        windows = Written(texts.select("doc_id", "form", "text", "asked").mapInArrow(_window_rows(self.window), "window binary, doc_id long, form long, begin int"), "windows")
         owners = windows.df.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
-        single = windows.df.join(written(owners, "owners"), "window").where("doc_id > owner").select("doc_id", "begin", F.lit(1).alias("n"))
+        single = windows.df.join(written(owners, "owners"), "window").where("doc_id > owner").select("doc_id", "form", "begin", F.lit(1).alias("n"))
         return Written(whole.unionByName(single), "duplicated").df
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def _cut(window: int, texts: bool, carry: int):
-    """doc_id, text, begins, counts and ``carry`` further columns in."""
+def _cut(window: int, texts: bool, carry: list[str]):
+    """doc_id, text, begins, counts and the carried columns in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,20 +214,21 @@ def _cut(window: int, texts: bool, carry: int):
                 digests.append(hashlib.sha256(joined).hexdigest())
                 kept_texts.append((text if not begins else joined.decode("utf-8", "surrogatepass")) if texts else None)
             found = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[4 : 4 + carry]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *(f"carried_{k}" for k in range(carry))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[4:]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept", *carry])
 
     return run
 
 
-def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, carry: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, kept_sha256, and kept (the text, untouched where nothing goes) if asked for.
-
-    carry: further columns of docs to return beside these.
+def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, extra: list[str] | None = None) -> DataFrame:
+    """Per document: doc_id, n_words, n_removed, kept_sha256; with texts also kept (the text, untouched where
+    nothing goes) and all other columns, named as by ``plain`` (those of extra keep their names).
 
     The table goes through the index in ``batches`` batches of ascending ids, split at
     approximate quantiles; where they are split doesn't change the result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs, _ = plain(docs, doc_id=id_col, text=text_col, **{c: c for c in extra or ()})
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).withColumn("form", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", "form").where("doc_id is not null")
     short_batches(docs.sparkSession)
     cuts = sorted(set(rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *(int(c) for c in cuts), None]
@@ -239,10 +242,9 @@ def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, i
             batch, seen = batch.where(F.col("doc_id") <= high), seen.where(F.col("doc_id") <= high)
         spans = index.add(batch, seen)
         found = spans if found is None else found.unionByName(spans)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
-    carry = carry or []
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)))
-    joined = whole.join(spans, "doc_id", "left").select("doc_id", "text", "spans.begin", "spans.n", *(f"carried_{k}" for k in range(len(carry))))
-    schema = StructType(StructType.fromDDL(RESULT).fields + [StructField(f"carried_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)])
-    out = joined.mapInArrow(_cut(window, texts, len(carry)), schema).withColumnsRenamed({f"carried_{k}": c for k, c in enumerate(carry)})
+    spans = found.groupBy("doc_id", "form").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "form")] if texts else []
+    joined = docs.join(spans, ["doc_id", "form"], "left").select("doc_id", "text", "spans.begin", "spans.n", *carry)
+    schema = StructType(StructType.fromDDL(RESULT).fields + [StructField(c, docs.schema[c].dataType) for c in carry])
+    out = joined.mapInArrow(_cut(window, texts, carry), schema)
     return out if texts else out.drop("kept")
