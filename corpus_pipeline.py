@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and
 read again as the next stage's documents. All but the last return the columns of documents.
+Columns beyond those that a stage needs pass through it, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,31 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import bpe, language, packing, simhash, substrings
-from tessel.llm.common import Written, table
+from tessel.llm.common import Written, plain, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are in a learned language; null texts and texts without a letter go."""
-    model = language.learn(docs)
-    judged = language.identify(docs, model, keep=True)
-    return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    rows, names = plain(docs, doc_id="doc_id", text="text")
+    judged = language.identify(docs, language.learn(docs), keep=True)
+    return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*rows.columns).toDF(*names)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near-duplicates, one row for it."""
+    """Keeps the document with the smallest id of every group of near-duplicates.
+
+    Rows that share an id stay or go together; rows without an id stay.
+    """
+    rows, names = plain(docs, doc_id="doc_id", text="text")
     found = simhash.near_duplicates(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
-    return kept.select(*docs.columns)
+    return rows.join(gone, rows["doc_id"].cast("long") == gone["gone_id"], "left_anti").toDF(*names)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts. A text that loses nothing stays as it is; one that loses all goes."""
-    cut = substrings.remove_duplicates(docs, texts=True, carry=[c for c in docs.columns if c not in ("doc_id", "text")])
+    """Cuts repeated passages out of the texts. A text that loses nothing stays as it is; one that loses all its words goes."""
+    rows, names = plain(docs, doc_id="doc_id", text="text", **({"n_chars": "n_chars"} if "n_chars" in docs.columns else {}))
+    cut = substrings.remove_duplicates(rows, texts=True, extra=["n_chars"] if "n_chars" in rows.columns else [])
     cut = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    if "n_chars" in rows.columns:
+        length = F.length("text").cast(rows.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
+    return cut.select(*rows.columns).toDF(*names)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
