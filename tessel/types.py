@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.types as pt
@@ -150,7 +151,7 @@ def loadable_type(t: pa.DataType) -> pa.DataType:
     """The type that Spark's Arrow reader takes in place of t."""
     kind = logical(t).name
     simple = {
-        "uint8": pa.int16(), "uint16": pa.int32(), "uint32": pa.int64(), "uint64": pa.decimal128(20, 0), "halffloat": pa.float32(), "date64": pa.date32(), "time32": pa.time64("us"),
+        "uint8": pa.int16(), "uint16": pa.int32(), "uint32": pa.int64(), "uint64": pa.decimal128(20, 0), "halffloat": pa.float32(), "date64": pa.date32(), "time32": pa.time64("ns"),
         "utf8_view": pa.string(), "binary_view": pa.binary(), "large_utf8": pa.string(), "large_binary": pa.binary(), "month_day_nano_interval": INTERVAL,
     }
     if kind in simple:
@@ -161,11 +162,11 @@ def loadable_type(t: pa.DataType) -> pa.DataType:
         return loadable_type(t.storage_type)
     if kind == "run_end_encoded":
         return loadable_type(t.value_type)
-    if kind == "timestamp" and t.unit == "ns":
+    if kind == "timestamp":
         return pa.timestamp("us", t.tz)
     if kind == "time64":
-        return pa.time64("us")
-    if kind == "duration" and t.unit == "ns":
+        return pa.time64("ns")
+    if kind == "duration":
         return pa.duration("us")
     if kind == "decimal256":
         return pa.decimal128(t.precision, t.scale) if t.precision <= 38 else pa.string()
@@ -210,12 +211,14 @@ def loadable(a: pa.Array) -> pa.Array:
     if kind in ("list_view", "large_list_view", "fixed_size_list", "large_list", "list"):
         if t == to:
             return a
-        plain = a if kind == "list" else a.cast(pa.list_(t.value_field)) if kind != "fixed_size_list" else pa.array(a.to_pylist(), pa.list_(t.value_field))
-        values = loadable(plain.flatten())
-        lengths = pc.coalesce(pc.list_value_length(plain), pa.scalar(0, pa.int32()))
-        ends = pc.cumulative_sum(lengths).to_pylist()
-        offsets = pa.array([0, *ends], pa.int32())
-        return pa.ListArray.from_arrays(offsets, values, type=to, mask=plain.is_null() if plain.null_count else None)
+        lengths = pc.fill_null(pc.list_value_length(a), 0).to_numpy().astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(lengths)))
+        if kind in ("list_view", "large_list_view"):  # views may overlap and stand in any order
+            within = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
+            children = a.values.take(pa.array(np.repeat(a.offsets.to_numpy().astype(np.int64), lengths) + within))
+        else:
+            children = a.flatten()  # without what lies under nulls
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), loadable(children), type=to, mask=a.is_null() if a.null_count else None)
     if kind == "struct" and t != to:
         mask = a.is_null()
         parts = [pc.if_else(mask, pa.scalar(None, to.field(k).type), loadable(a.field(k))) if a.null_count else loadable(a.field(k)) for k in range(t.num_fields)]
