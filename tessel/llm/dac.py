@@ -118,9 +118,9 @@ class Segment:
         return out
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        ends = np.append(self.starts[1:], self.n_ids)
+        ends, ids = np.append(self.starts[1:], self.n_ids), self.slice(0, self.n_ids)
         for doc_id, begin, end in zip(self.doc_ids, self.starts.tolist(), ends.tolist()):
-            yield doc_id, begin, self.slice(begin, end)
+            yield doc_id, begin, ids[begin:end]
 
 
 SEGMENTS = "part int, segment int, first_doc long, n_ids long, blob binary"

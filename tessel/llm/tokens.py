@@ -22,11 +22,11 @@ MEMO = 250_000
 
 # The code points with the Unicode property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-# The vocabularies' patterns over Latin-1, where \\w is letters, digits, these numbers and _.
-_L, _N, _S = "[^\\W\\d_²³¹¼½¾]", "[\\d²³¹¼½¾]", "\\t-\\r \\x85\\xa0"
+# The vocabularies' patterns over Latin-1, whose letters, numbers and white space these are.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
-PLAIN_BYTES = re.compile(f"{_ENDINGS}| ?{_L}+| ?{_N}+| ?(?:[^\\w{_S}]|_)+|[{_S}]+(?![^{_S}])|[{_S}]+")
-PLAIN_WORDS = re.compile(f"{_ENDINGS}|{_L}+|{_N}|(?:[^\\w{_S}]|_)+")
+PLAIN_BYTES = re.compile(f" ?[{_L}]+|{_ENDINGS}| ?[{_N}]+| ?[^{_L}{_N}{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+PLAIN_WORDS = re.compile(f"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_L}{_N}{_S}]+")
 #: The patterns that these two stand for; any other pattern serves as it is.
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
