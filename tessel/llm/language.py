@@ -30,7 +30,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from tessel.llm.common import columns, plain, short_batches
 
 UNKNOWN = "und"
-FEATURES = 4096
+FEATURES = 2048
 SAMPLE = 4000
 #: Steepness of the certainty as a function of a machine's margin.
 STEEPNESS = 3.0
@@ -70,7 +70,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int =
     """Weights (the last is the bias) of a linear SVM by dual coordinate descent; y is -1 or 1."""
     w, alpha = np.zeros(x.shape[1] + 1), np.zeros(len(x))
     data = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    norms = (data * data).sum(axis=1)
+    norms = np.einsum("ij,ij->i", data, data)
     rng = np.random.default_rng(3)
     for _ in range(rounds):
         moved = 0.0
@@ -185,14 +185,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(lang, features(t).tobytes()) for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.binary())], names=["lang", "x"])
+            kept = [(lang, key, features(t).tobytes()) for lang, t, key in zip(*(batch.column(k).to_pylist() for k in range(3))) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.int64()), pa.array([k[2] for k in kept], pa.binary())], names=["lang", "key", "x"])
 
     short_batches(docs.sparkSession)
-    found = rows.where(taken).select(F.col(lang_col).cast("string"), F.col(text_col)).mapInArrow(run, "lang string, x binary").toArrow()
-    order = sorted(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
-    x = np.frombuffer(b"".join(v for _, v in order), np.float32).reshape(-1, FEATURES)
-    return fit(x, [lang for lang, _ in order])
+    found = rows.where(taken).select(F.col(lang_col).cast("string"), F.col(text_col), F.xxhash64(text_col, id_col)).mapInArrow(run, "lang string, key long, x binary").toArrow()
+    langs, keys = found.column(0).to_pylist(), found.column(1).to_pylist()
+    order = sorted(range(len(langs)), key=lambda k: (langs[k], keys[k]))
+    x, values = np.empty((len(order), FEATURES), np.float32), found.column(2)
+    for row, k in enumerate(order):
+        x[row] = np.frombuffer(values[k].as_buffer(), np.float32)
+    del found, values
+    return fit(x, [langs[k] for k in order])
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
