@@ -11,8 +11,9 @@ are its whole rendering.
 
 The cost of a stretch of turns is a matrix over the automaton's states, and matrices of
 neighbouring stretches combine by (min, +). So a conversation of any length is handled in
-stretches of at most about ``STRETCH`` turn numbers: matrices first, then the states at
-their borders, then the stretches again.
+stretches of at most about ``STRETCH`` turn numbers: for those of more than one stretch the
+matrices come first and give the states at the borders; then every stretch is repaired by
+itself. Stretches are dealt by hash and sorted, and run through Arrow batches.
 
 Cases: null and unknown roles are relabelled; null texts are empty; texts are never altered,
 even if they hold the strings that mark turns; turns with equal numbers
@@ -22,14 +23,16 @@ conversation of their own; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, columns
+from tessel.llm.common import columns, short_batches, written
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, then the role of the last turn.
@@ -135,59 +138,92 @@ def render(before: int, after: int, action: str, text: str | None, last: bool) -
     return out + (CLOSE + "".join(turn(s) + CLOSE for s in CLOSING[after]) if last else "")
 
 
-RESULT = "conv_id long, turn long, nth long, role_given string, role string, action string, rendered string"
-_ORDER = ["turn", "role", "text"]
-
-
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = {c: pdf[c].isna() for c in _ORDER}
-    filled = pdf.assign(turn=pdf["turn"].fillna(-(2**62)).astype("int64"), role_=pdf["role"].fillna(""), text_=pdf["text"].fillna(""), role_null=~keys["role"])
-    return filled.sort_values(["turn", "role_null", "role_", "text_"], kind="stable")
+_RESULT = [("conv_id", "long"), ("turn", "long"), ("nth", "long"), ("role_given", "string"), ("role", "string"), ("action", "string"), ("rendered", "string")]
+_ARROW = {"long": pa.int64(), "string": pa.string()}
+RESULT = ", ".join(f"{n} {t}" for n, t in _RESULT)
+COSTS = "conv_id long, stretch long, n long, cost array<double>"
 
 
 def _role(value: object) -> str | None:
     return value if value in ROLES else None
 
 
-def format_conversations(turns: DataFrame) -> DataFrame:
+#: Conversations have few sequences of roles, so most repairs are look-ups.
+_borders = functools.lru_cache(10_000)(lambda roles: borders([matrix(roles)]))
+_repair = functools.lru_cache(10_000)(lambda roles, enter, leave: repair(list(roles), enter, leave))
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each (conv_id, stretch), the first two columns, which come one after the other."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[-1][:2] != row[:2]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _batches(rows: Iterable[tuple], fields: list[tuple[str, pa.DataType]], size: int = 2000) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = list(zip(*held)) or [()] * len(fields)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield flush()
+            held = []
+    yield flush()
+
+
+def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [("conv_id", pa.int64()), ("stretch", pa.int64()), ("n", pa.int64()), ("cost", pa.list_(pa.float64()))]
+    found = ((rows[0][0], rows[0][1], len(rows), matrix(_role(r[3]) for r in rows).ravel().tolist()) for rows in _stretches(batches))
+    yield from _batches(found, fields)
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("stretch")
+    states = borders([np.array(c).reshape(4, 4) for c in pdf["cost"]])
+    return pd.DataFrame(
+        {"conv": pdf["conv_id"], "part": pdf["stretch"], "enter": states[:-1], "leave": states[1:], "first": pdf["n"].cumsum() - pdf["n"], "last": [k == len(pdf) - 1 for k in range(len(pdf))]}
+    )
+
+
+def _written_out(rows: list[tuple]) -> Iterator[tuple]:
+    conv_id, _, _, _, _, enter, leave, first, last = rows[0]
+    roles = tuple(_role(r[3]) for r in rows)
+    if enter is None:  # the only stretch of its conversation
+        (enter, leave), first, last = _borders(roles), 0, True
+    steps = _repair(roles, enter, leave)
+    for k, ((before, after, action), row) in enumerate(zip(steps, rows)):
+        yield conv_id, row[2], first + k, row[3], ROLES[after - 1], action, render(before, after, action, row[4], last and k == len(rows) - 1)
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _batches((out for rows in _stretches(batches) for out in _written_out(rows)), [(n, _ARROW[t]) for n, t in _RESULT])
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("conv_id", "stretch").sortWithinPartitions("conv_id", "stretch", "turn", "role", "text")
+
+
+def format_conversations(turns: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """One row per turn: conv_id, turn, nth (from 0), role_given, role, action, rendered."""
-    stretch = F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-1)).cast("long")
+    number = F.coalesce(F.floor(F.col("turn") / stretch), F.lit(-1 << 62)).cast("long").alias("stretch")
     rows = columns(turns, conv_id="conv_id", turn="turn", role="role", text="text")
-    rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).withColumn("stretch", stretch)
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        m = matrix(map(_role, pdf["role"]))
-        return pd.DataFrame({"conv_id": [pdf["conv_id"].iloc[0]], "stretch": [pdf["stretch"].iloc[0]], "n": [len(pdf)], "cost": [m.ravel().tolist()]})
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("stretch")
-        states = borders([np.array(c).reshape(4, 4) for c in pdf["cost"]])
-        begins = pdf["n"].cumsum() - pdf["n"]
-        return pd.DataFrame(
-            {"conv_id": pdf["conv_id"], "stretch": pdf["stretch"], "enter": states[:-1], "leave": states[1:], "first": begins, "last": [k == len(pdf) - 1 for k in range(len(pdf))]}
-        )
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _sorted(pdf)
-        head = pdf.iloc[0]
-        steps = repair([_role(r) for r in pdf["role"]], int(head["enter"]), int(head["leave"]))
-        n = len(pdf)
-        texts = pdf["text"].where(pdf["text"].notna(), None)
-        return pd.DataFrame(
-            {
-                "conv_id": pdf["conv_id"],
-                "turn": pdf["turn_given"],
-                "nth": np.arange(n) + int(head["first"]),
-                "role_given": pdf["role"],
-                "role": [ROLES[s[1] - 1] for s in steps],
-                "action": [s[2] for s in steps],
-                "rendered": [render(*s, t, bool(head["last"]) and k == n - 1) for k, (s, t) in enumerate(zip(steps, texts))],
-            }
-        )
-
-    costs = rows.groupBy("conv_id", "stretch").applyInPandas(summarise, "conv_id long, stretch long, n long, cost array<double>")
-    states = costs.groupBy("conv_id").applyInPandas(meet, "conv_id long, stretch long, enter int, leave int, first long, last boolean")
-    states = Written(states.withColumnsRenamed({"conv_id": "conv", "stretch": "part"}), "chat-states").df
-    joined = rows.withColumn("turn_given", F.col("turn")).join(states, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("stretch") == F.col("part"))).drop("conv", "part")
-    return joined.groupBy("conv_id", "stretch").applyInPandas(write, RESULT)
+    rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = rows.select("conv_id", number, "turn", "role", "text")
+    short_batches(turns.sparkSession, 1000)
+    long = rows.groupBy("conv_id").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).where("low < high")
+    long = written(long.select(F.col("conv_id").alias("conv")), "long-conversations")
+    of_long = rows.join(long, F.col("conv_id").eqNullSafe(F.col("conv")), "left_semi")
+    costs = _in_order(of_long.select("conv_id", "stretch", "turn", "role", F.lit(None).cast("string").alias("text"))).mapInArrow(_summarise, COSTS)
+    states = written(costs.groupBy("conv_id").applyInPandas(_meet, "conv long, part long, enter int, leave int, first long, last boolean"), "chat-states")
+    joined = rows.join(states, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("stretch") == F.col("part")), "left").drop("conv", "part")
+    return _in_order(joined).mapInArrow(_write, RESULT)

@@ -161,14 +161,14 @@ def test_repair_has_least_cost_and_is_legal(n):
         assert len(half) == 3
 
 
-def test_conversations_as_a_table(spark, monkeypatch):
+def test_conversations_as_a_table(spark):
     rows = [(1, 0, "user", "hi", "x"), (1, 1, "assistant", "ho", None), (2, 0, "assistant", "first", None), (2, 1, "assistant", None, None), (3, 5, "bot", "odd", None), (3, 5, None, "odd", None), (3, None, "system", "s", None), (None, 1, "user", "lost", None), (1, 2, "user", "bye", None)]
     rows += [(9, k, ["user", "assistant"][k % 2 if k < 500 else (k + 1) % 2], f"t{k}", None) for k in range(1000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, enter string").repartition(4)
 
-    def whole():
+    def whole(stretch=chat.STRETCH):
         out = {}
-        for r in sorted(chat.format_conversations(df).collect(), key=lambda r: (r["conv_id"] or 0, r["nth"])):
+        for r in sorted(chat.format_conversations(df, stretch).collect(), key=lambda r: (r["conv_id"] or 0, r["nth"])):
             out[r["conv_id"]] = out.get(r["conv_id"], "") + r["rendered"]
         return out
 
@@ -178,6 +178,5 @@ def test_conversations_as_a_table(spark, monkeypatch):
     assert found[2] == turn("user", "") + turn("assistant", "first\n")
     assert found[None] == turn("user", "lost") + turn("assistant", "")
     assert all(legal([p.split("\n")[0] for p in t.split(chat.OPEN)[1:]]) for t in found.values())
-    monkeypatch.setattr(chat, "STRETCH", 64)
-    assert whole() == found
+    assert whole(64) == found
     assert chat.format_conversations(df.limit(0)).count() == 0
