@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessel.work import Written, delete, shared_dir, written
 
-__all__ = ["TEXT_ROWS", "Written", "columns", "delete", "plain", "shared_dir", "short_batches", "table", "written"]
+__all__ = ["TEXT_ROWS", "Written", "columns", "delete", "drawn_by_hash", "plain", "shared_dir", "short_batches", "table", "written"]
 
 #: Rows of a text table handed to a Python worker at once. Texts may be long, so the
 #: batches are short: 128 texts of 100 kB stay near 13 MB.
@@ -38,6 +39,16 @@ def columns(df: DataFrame, **known: str) -> DataFrame:
     return plain(df, **known)[0].select(*known)
 
 
+def drawn_by_hash(key: Column, wanted: int, of: int) -> Column:
+    """True for about ``wanted`` of ``of`` distinct keys, the same ones in every run.
+
+    Unlike a sort with a limit, it lets no task send more than its share to the driver.
+    """
+    if of <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.lit("drawn"), key), F.lit(1 << 40)) < F.lit(int(wanted / of * (1 << 40)))
+
+
 def short_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bounds the Arrow batches between the JVM and Python for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

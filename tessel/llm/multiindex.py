@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, columns, short_batches
+from tessel.llm.common import Written, columns, drawn_by_hash, short_batches
 from tessel.llm.vectors import by_dimension, matrix, unit, usable, vector_key
 
 CODES = 32
@@ -136,8 +136,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, visit: float = VISI
     classes = ranked.groupBy("dim", "k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
     entries = Written(classes.select("dim", "ids", "embedding"), "entries").df
     short_batches(spark, 1024)
-    dims = [r["dim"] for r in entries.groupBy("dim").count().orderBy("dim").collect()]  # one row for each dimension in use
-    found = [_nearest(good.where(F.col("dim") == d).select("vec_id", "embedding"), entries.where(F.col("dim") == d), k, every, visit) for d in dims]
+    dims = sorted((r["dim"], r["count"]) for r in entries.groupBy("dim").count().collect())  # one row for each dimension in use
+    found = [_nearest(good.where(F.col("dim") == d).select("vec_id", "embedding"), entries.where(F.col("dim") == d), n, k, every, visit) for d, n in dims]
     out = found[0] if found else spark.createDataFrame([], "query_id long, vec_id long, score double")
     for more in found[1:]:
         out = out.unionByName(more)
@@ -146,8 +146,10 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, visit: float = VISI
     return best.select("query_id", "rank", "vec_id", "score")
 
 
-def _nearest(rows: DataFrame, entries: DataFrame, k: int, every: int, visit: float) -> DataFrame:
-    drawn = entries.orderBy(F.xxhash64("embedding"), F.col("ids")[0]).limit(SAMPLE).select("embedding").toArrow()
+def _nearest(rows: DataFrame, entries: DataFrame, n_entries: int, k: int, every: int, visit: float) -> DataFrame:
+    drawn = entries.where(drawn_by_hash(F.col("embedding"), SAMPLE, n_entries)).orderBy(F.xxhash64("embedding")).select("embedding").toArrow()
+    if not len(drawn):
+        drawn = entries.limit(1).select("embedding").toArrow()
     index = MultiIndex(unit(matrix(drawn.column(0).combine_chunks())))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

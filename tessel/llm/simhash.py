@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, columns, short_batches
+from tessel.llm.common import Written, columns, drawn_by_hash, short_batches
 from tessel.llm.components import components
 
 SHINGLE = 3
@@ -170,7 +170,7 @@ def shard_links(values: np.ndarray, home: np.ndarray, reach: int, rows: int = 25
 def near_links(classes: DataFrame, reach: int = REACH, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """a, b: representatives (column rep) of the distinct fingerprints (column fp), enough to join all that link."""
     n = classes.count()
-    drawn = classes.orderBy(F.xxhash64("fp"), "fp").limit(sample).select("fp").collect()
+    drawn = classes.where(drawn_by_hash(F.col("fp"), sample, n)).select("fp").collect()
     points = np.sort(np.array([r["fp"] for r in drawn], dtype=np.int64).view(np.uint64))
     np.random.default_rng(7).shuffle(points)
     leaf = max(2, min(shard, n // 32 + 1) * len(points) // max(1, n))
