@@ -152,7 +152,7 @@ def loadable_type(t: pa.DataType) -> pa.DataType:
     kind = logical(t).name
     simple = {
         "uint8": pa.int16(), "uint16": pa.int32(), "uint32": pa.int64(), "uint64": pa.decimal128(20, 0), "halffloat": pa.float32(), "date64": pa.date32(), "time32": pa.time64("ns"),
-        "utf8_view": pa.string(), "binary_view": pa.binary(), "large_utf8": pa.string(), "large_binary": pa.binary(), "month_day_nano_interval": INTERVAL,
+        "utf8_view": pa.string(), "binary_view": pa.binary(), "large_utf8": pa.string(), "large_binary": pa.binary(), "fixed_size_binary": pa.binary(), "month_day_nano_interval": INTERVAL,
     }
     if kind in simple:
         return simple[kind]
