@@ -154,14 +154,23 @@ class Union:
             a, b = lo, hi
 
 
-def shard_links(values: np.ndarray, home: np.ndarray, reach: int, rows: int = 256) -> Iterator[tuple[int, int]]:
-    """Pairs of row numbers that join the shard's linked rows; each row is compared with all that live there."""
-    live = np.flatnonzero(home)
+def shard_links(values: np.ndarray, home: np.ndarray, half: int, reach: int, shard: int, rows: int = 256) -> Iterator[tuple[int, int]]:
+    """Pairs of row numbers that join the shard's linked rows.
+
+    Each row is compared with all that live there; a shard that came out larger than meant,
+    because the sample knew too little of it, is cut further by a tree of its own.
+    """
     union = Union(len(values))
-    for at in range(0, len(values), rows):
-        some = np.arange(at, min(at + rows, len(values)))
-        a, b = np.nonzero(np.bitwise_count(values[some, None] ^ values[live][None, :]) <= reach)
-        union.join(some[a], live[b])
+    parts = [(np.arange(len(values)), home)]
+    if home.sum() > 2 * shard:
+        tree = VantageTree(values[home], half, reach, shard)
+        parts = ((at, home[at] & lives) for _, at, lives in tree.walk(values))
+    for at, lives in parts:
+        live = at[lives]
+        for k in range(0, len(at), rows):
+            some = at[k : k + rows]
+            a, b = np.nonzero(np.bitwise_count(values[some, None] ^ values[live][None, :]) <= reach)
+            union.join(some[a], live[b])
     roots = union.roots()
     for k in np.flatnonzero(roots != np.arange(len(values))).tolist():
         yield k, int(roots[k])
@@ -189,7 +198,8 @@ def near_links(classes: DataFrame, reach: int = REACH, shard: int = SHARD, sampl
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         values, rep = pdf["fp"].to_numpy().view(np.uint64), pdf["rep"].to_numpy()
-        found = list(shard_links(values, pdf["home"].to_numpy(), reach))
+        half = int(pdf["shard"].iloc[0] >= first[1])
+        found = list(shard_links(values, pdf["home"].to_numpy(), half, reach, shard))
         return pd.DataFrame({"a": rep[[x for x, _ in found]], "b": rep[[y for _, y in found]]}, dtype=np.int64)
 
     short_batches(classes.sparkSession, 20_000)

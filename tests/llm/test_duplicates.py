@@ -83,8 +83,9 @@ def test_simhash_equals_brute_force(spark):
     assert any(want[d] != d and fp[want[d]] != fp[d] for d in fp)
 
 
+@pytest.mark.parametrize("sample", [32_768, 20])
 @pytest.mark.parametrize("kind", ["random", "dense", "half"])
-def test_tree_links_equal_brute_force(spark, kind):
+def test_tree_links_equal_brute_force(spark, kind, sample):
     rng = np.random.default_rng(4)
     if kind == "random":
         base = rng.integers(0, 2**63, 300, dtype=np.uint64)
@@ -93,7 +94,7 @@ def test_tree_links_equal_brute_force(spark, kind):
     flips = [[1 << int(b) for b in rng.choice(32 if kind == "half" else 64, rng.integers(0, 6), replace=False)] for _ in range(600)]
     values = sorted({int(v) ^ sum(f) for v, f in zip(np.repeat(base, 2).tolist(), flips)})
     df = spark.createDataFrame([(int(np.array(v, np.uint64).view(np.int64)), k) for k, v in enumerate(values)], "fp long, rep long")
-    got = groups(range(len(values)), [(r["a"], r["b"]) for r in simhash.near_links(df, shard=16).collect()])
+    got = groups(range(len(values)), [(r["a"], r["b"]) for r in simhash.near_links(df, shard=16, sample=sample).collect()])
     want = groups(range(len(values)), [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 3])
     assert got == want
 
