@@ -122,6 +122,19 @@ def loadable_batch(batch: pa.RecordBatch, keep: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([loadable(batch.column(k)) for k in keep], names=[names[k] for k in keep])
 
 
+def of_size(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of a fixed size, whatever size they come in."""
+    held = schema.empty_table()
+    for batch in batches:
+        cast = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
+        held = pa.concat_tables([held, pa.Table.from_batches([cast])])
+        while held.num_rows >= rows:
+            yield from held.slice(0, rows).combine_chunks().to_batches()
+            held = held.slice(rows)
+    if held.num_rows:
+        yield from held.combine_chunks().to_batches()
+
+
 @dataclass
 class Done(WriterCommitMessage):
     path: str
@@ -157,10 +170,8 @@ class IpcWriter(DataSourceArrowWriter):
         schema = to_arrow_schema(self.schema)
         new = ipc.new_file if container == "file" else ipc.new_stream
         with fs.open_output_stream(draft) as sink, new(sink, schema, options=write_options) as writer:
-            for batch in iterator:
-                cast = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema)], schema=schema)
-                for k in range(0, cast.num_rows, at_once):
-                    writer.write_batch(cast.slice(k, at_once))
+            for batch in of_size(iterator, schema, at_once):
+                writer.write_batch(batch)
                 rows += batch.num_rows
         fs.move(draft, final)
         return Done(final, rows)
