@@ -229,3 +229,38 @@ def read_batch(spark: SparkSession, path: str, index: int):
     if not 0 <= index < reader.num_record_batches:
         raise named("InvalidFile", f"batch {index} of {reader.num_record_batches}")
     return from_arrow(spark, pa.Table.from_batches([reader.get_batch(index)]))
+
+
+def messages(spark: SparkSession, path: str):
+    """ordinal, kind, metadata_bytes, body_bytes of every message of a stream, in order."""
+    fs, p = file_system(path)
+    rows = []
+    with fs.open_input_file(p) as source:
+        while True:
+            try:
+                m = ipc.read_message(source)
+            except EOFError:
+                break
+            except pa.ArrowInvalid as error:
+                raise named("InvalidMessage", str(error)) from error
+            rows.append((len(rows), m.type, m.metadata.size, m.body.size if m.body is not None else 0))
+    return spark.createDataFrame(rows, "ordinal int, kind string, metadata_bytes long, body_bytes long")
+
+
+def decode_schema(message: bytes) -> StructType:
+    """The schema of an encapsulated message; anything else is InvalidMessage."""
+    try:
+        return spark_schema(ipc.read_schema(pa.BufferReader(message)))
+    except (pa.ArrowInvalid, EOFError, OSError) as error:
+        raise named("InvalidMessage", str(error)) from error
+
+
+def decode_batch(spark: SparkSession, message: bytes, schema: pa.Schema):
+    """The rows of an encapsulated record batch, given its schema."""
+    from tessel.schema import from_arrow
+
+    try:
+        batch = ipc.read_record_batch(ipc.read_message(pa.BufferReader(message)), schema)
+    except (pa.ArrowInvalid, EOFError, OSError) as error:
+        raise named("InvalidMetadata", str(error)) from error
+    return from_arrow(spark, pa.Table.from_batches([batch]))

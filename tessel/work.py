@@ -51,6 +51,16 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """A small file in the shared folder; returns its path."""
+    path = f"{shared_dir(spark)}/{name}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(data))
+    out.close()
+    return path
+
+
 class Written:
     """A table written to the shared folder: cuts the lineage and survives lost executors."""
 
