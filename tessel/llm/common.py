@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tessel.work import Written, delete, shared_dir, written
 
-__all__ = ["TEXT_ROWS", "Written", "columns", "delete", "drawn_by_hash", "plain", "shared_dir", "short_batches", "table", "written"]
+__all__ = ["BATCH_BYTES", "TEXT_ROWS", "Written", "columns", "delete", "drawn_by_hash", "plain", "shared_dir", "short_batches", "table", "written"]
 
-#: Rows of a text table handed to a Python worker at once. Texts may be long, so the
-#: batches are short: 128 texts of 100 kB stay near 13 MB.
-TEXT_ROWS = 128
+#: What is handed to a Python worker at once: at most so many rows and, since texts may be
+#: long, about so many bytes (a longer text comes alone).
+TEXT_ROWS, BATCH_BYTES = 128, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +52,4 @@ def drawn_by_hash(key: Column, wanted: int, of: int) -> Column:
 def short_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Bounds the Arrow batches between the JVM and Python for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

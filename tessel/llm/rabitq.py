@@ -78,7 +78,7 @@ def band_values(turned: np.ndarray, bits: int, tables: int, seed: int = SEED) ->
     return (signs * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
 
-CODED = "rep long, label int, dim int, copies long, embedding array<double>, code binary, factor double, bands array<int>"
+CODED = "rep long, label string, dim int, copies long, embedding array<double>, code binary, factor double, bands array<int>"
 
 
 def code_classes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
@@ -97,7 +97,7 @@ def code_classes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
                 )
 
     short_batches(classes.sparkSession, 1024)
-    return classes.select("rep", F.col("label").cast("int"), "dim", "copies", F.col("embedding").cast("array<double>")).mapInArrow(run, CODED)
+    return classes.select("rep", F.col("label").cast("string"), "dim", "copies", F.col("embedding").cast("array<double>")).mapInArrow(run, CODED)
 
 
 def block_links(left: tuple, right: tuple, same: bool, threshold: float, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -225,6 +225,12 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, whole):
     assert links
 
 
+def test_labels_of_any_type(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [1.0, 2.001], "a"), (3, [1.0, 2.0], "b"), (4, [1.0, 2.0], None)]
+    found = rabitq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4)]
+
+
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((400, 64))
