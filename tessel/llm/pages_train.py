@@ -75,7 +75,7 @@ class Writer:
         return f"<{(t := self.r.choice(['div', 'div', 'aside', 'section']))}{self.css('ad', 'ads', 'advert', 'sponsored', 'promo', 'banner')}>{inner}</{t}>"
 
     def side(self) -> str:
-        inner = f"<h3>{self.words(1, 4)}</h3>" + self.r.choice([self.links(2, 8), f"<p>{self.prose(1, 4)}</p>"])
+        inner = self.r.choice([f"<h3>{self.words(1, 4)}</h3>", f"<h3>{self.words(1, 4)}</h3>", ""]) + self.r.choice([self.links(2, 8), f"<p>{self.prose(1, 4)}</p>", self.words(2, 6), self.prose(1, 3)])
         return self.r.choice([f"<aside{self.css('', 'sidebar', 'related')}>{inner}</aside>", f"<div{self.css('sidebar', 'related', 'widget', 'popular')}>{inner}</div>"])
 
     def notice(self) -> str:
@@ -93,11 +93,16 @@ class Writer:
         return f"<{t}{self.css('comments', 'discussion', 'responses comments', 'reader-comments')}>" + f"<h2>{self.words(1, 3)}</h2>" * (t != "ol") + "".join(one() for _ in range(self.r.randint(1, 6))) + f"</{t}>"
 
     def share(self) -> str:
-        return f"<div{self.css('share', 'social', 'follow')}>" + " ".join(f'<a href="#">{self.word()}</a>' for _ in range(4)) + "</div>"
+        inner = " ".join(f'<a href="#">{self.word()}</a>' for _ in range(4)) if self.r.random() < 0.6 else self.words(1, 5)
+        return f"<div{self.css('share', 'social', 'follow')}>{inner}</div>"
 
     def junk(self) -> str:
         return self.r.choice([self.menu, self.advert, self.side, self.notice, self.form, self.share])()
 
+    def inline_junk(self) -> str:
+        t = self.r.choice(["p", "div", "section"])
+        return f"<{t}{self.css('ad', 'advert', 'notice', 'share', 'sponsored', 'newsletter', 'related')}>{self.prose(1, 2)}</{t}>"
+
     # What belongs.
     def block(self) -> str:
         x = self.r.random()
@@ -116,18 +121,20 @@ class Writer:
         return f"<p{MARK}>{self.words(1, 5)}</p>"
 
     def article(self) -> str:
-        title = f"<h1{MARK}>{self.words(2, 9)}</h1>" if self.r.random() < 0.85 else ""
+        title = f"<h1{MARK}>{self.words(1, 12) if self.r.random() < 0.8 else self.word()[:3]}</h1>" if self.r.random() < 0.85 else ""
         if title and self.r.random() < 0.15:
             title = f"<header{MARK}>{title}</header>"
         parts = [self.block() for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 8, 12, 16, 24]))]
-        for _ in range(self.r.choice([0, 0, 0, 1, 1, 2])):
-            parts.insert(self.r.randint(0, len(parts)), self.r.choice([self.advert, self.share, self.notice, self.side, self.form])())
+        for _ in range(self.r.choice([0, 0, 0, 1, 1, 2, 3])):
+            parts.insert(self.r.randint(0, len(parts)), self.r.choice([self.advert, self.share, self.notice, self.side, self.form, self.inline_junk])())
         inner = title + "".join(parts)
         if self.r.random() < 0.25:
             inner = f"<div{MARK}{self.css('', 'content', 'body', 'entry', 'text')}>{inner}</div>"
         if self.r.random() < 0.12:
             inner += self.comments()
-        t, attr = self.r.choice([("article", ""), ("article", ""), ("article", self.css("", "post", "story")), ("main", ""), ("div", self.css("content", "article", "post", "entry", "story", "main")), ("section", self.css("content", "article", "post"))])
+        if self.r.random() < 0.12:  # nothing around it
+            return inner
+        t, attr = self.r.choice([("article", ""), ("div", ""), ("article", ""), ("article", self.css("", "post", "story")), ("main", ""), ("div", self.css("content", "article", "post", "entry", "story", "main")), ("section", self.css("content", "article", "post"))])
         return f"<{t}{MARK}{attr}>{inner}" + f"</{t}>" * (self.r.random() < 0.97)
 
     def page(self) -> str:
@@ -137,6 +144,8 @@ class Writer:
             self.r.shuffle(top)
         end = [*some(0.25, self.side), *some(0.25, self.comments), *some(0.15, self.advert), *some(0.1, self.form), *some(0.85, self.footer)]
         mid = [*some(0.1, self.side), self.article()]
+        if self.r.random() < 0.06:
+            top, end = [], []
         body = "".join(top) + (f"<div{MARK}{self.css('', 'wrap', 'container')}>" + "".join(mid) + "</div>" if self.r.random() < 0.3 else "".join(mid)) + "".join(end)
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}" + "</body></html>" * (self.r.random() < 0.9)
 
@@ -155,9 +164,9 @@ def gold(source: str) -> str:
     return "\n".join(t for k, t in page.blocks if MARK.strip() in page.nodes[k].attrs)
 
 
-def main(count: int = 4000) -> None:
+def main(count: int = 6000) -> None:
     found = [labelled(Writer(k).page()) for k in range(count)]
-    fitted = trees.fit(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+    fitted = trees.fit(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), trees=80, depth=5)
     fitted.save(Path(__file__).parent / "models" / "pages.json")
 
 
