@@ -64,14 +64,21 @@ def put(spark: SparkSession, name: str, data: bytes) -> str:
 class Written:
     """A table written to the shared folder: cuts the lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str, sort: list[str] | None = None):
+    def __init__(self, df: DataFrame, name: str, sort: list[str] | None = None, folder: str | None = None):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = f"{folder or shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         if sort:
             df = df.sortWithinPartitions(*sort)
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
 
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Written:
+        """One that an earlier application has written."""
+        self = cls.__new__(cls)
+        self.spark, self.path, self.schema = spark, path, spark.read.parquet(path).schema
+        return self
+
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
