@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -135,12 +135,26 @@ def _window_rows(window: int):
 
 
 class FingerprintIndex:
-    """Runs of anchors in the shared folder. Documents come in batches of ascending ids."""
+    """Runs of anchors. Documents come in batches of ascending ids.
 
-    def __init__(self, window: int = WINDOW, fan_out: int = FAN_OUT):
-        self.window, self.fan_out = window, fan_out
+    folder: where the runs are kept for later applications, which ``open`` them by their
+    paths; by default they last as long as this one.
+    """
+
+    def __init__(self, window: int = WINDOW, fan_out: int = FAN_OUT, folder: str | None = None):
+        self.window, self.fan_out, self.folder = window, fan_out, folder
         self.runs: list[Written] = []
 
+    @classmethod
+    def open(cls, spark: SparkSession, paths: list[str], folder: str, window: int = WINDOW, fan_out: int = FAN_OUT) -> FingerprintIndex:
+        self = cls(window, fan_out, folder)
+        self.runs = [Written.at(spark, p) for p in paths]
+        return self
+
+    @property
+    def paths(self) -> list[str]:
+        return [r.path for r in self.runs]
+
     def add(self, docs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         """Indexes the batch; returns its duplicated stretches of windows: doc_id, form, begin, n.
 
@@ -148,7 +162,7 @@ class FingerprintIndex:
         seen, the batch included (by default the batch alone); texts are read from there.
         """
         stored = docs if stored is None else stored
-        new = Written(docs.select("doc_id", "text", "form").mapInArrow(_anchor_rows(self.window), RUN), "anchors", sort=["anchor"])
+        new = Written(docs.select("doc_id", "text", "form").mapInArrow(_anchor_rows(self.window), RUN), "anchors", sort=["anchor"], folder=self.folder)
         union = new.df.withColumn("new", F.lit(True))
         for old in self.runs:
             union = union.unionByName(old.df.withColumn("new", F.lit(False)))
@@ -163,7 +177,7 @@ class FingerprintIndex:
         merged = self.runs[0].df
         for run in self.runs[1:]:
             merged = merged.unionByName(run.df)
-        new = Written(merged.repartition("anchor"), "anchors", sort=["anchor"])
+        new = Written(merged.repartition("anchor"), "anchors", sort=["anchor"], folder=self.folder)
         for run in self.runs:
             run.drop()
         self.runs = [new]

@@ -162,6 +162,17 @@ def test_runs_are_compacted(spark):
     assert len(index.runs) <= 2
 
 
+def test_an_index_is_opened_again(spark, tmp_path):
+    text = " ".join(map(str, range(90)))
+    docs = [spark.createDataFrame([(k, text if k != 1 else text[3:], 5 + k)], "doc_id long, text string, form long") for k in range(3)]
+    first = substrings.FingerprintIndex(folder=str(tmp_path))
+    assert first.add(docs[0]).count() == 0
+    again = substrings.FingerprintIndex.open(spark, first.paths, str(tmp_path))
+    spans = again.add(docs[1], docs[0].unionByName(docs[1])).collect()
+    covered = {p for r in spans for k in range(r["n"]) for p in range(r["begin"] + k, r["begin"] + k + 50)}
+    assert {r["doc_id"] for r in spans} == {1} and covered == set(range(len(text[3:].split())))
+
+
 def test_empty_inputs(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
