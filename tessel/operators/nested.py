@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessel.errors import marker, named
 from tessel.operators.ordinal import RID, with_ordinal
 from tessel.operators.permute import element_at
-from tessel.work import written
+from tessel.work import Written
 
 
 def _raise(name: str, t: str) -> Column:
@@ -52,7 +52,7 @@ def view_from_list(df: DataFrame, column: str, order_by: Sequence | None = None)
 def prefix_sum(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Sum of all values before each row in the order of a unique key, in two passes over ranges."""
     ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
-    ranged = written(ranged, "ranged")
+    ranged = Written(ranged, "ranged").df
     totals = ranged.groupBy("__p").agg(F.sum(value).alias("__t"))
     starts = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     inner = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.work import written
+from tessel.work import Written
 
 RID = "__rid"
 _PART, _LOCAL = "__part", "__local"
@@ -29,7 +29,7 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str | Column] | None = None,
     local = F.monotonically_increasing_id()
     # The upper bits of the id are the partition's number, the lower 33 count its rows.
     numbered = rows.withColumns({_PART: F.shiftright(local, 33).cast("int"), _LOCAL: local.bitwiseAND(F.lit((1 << 33) - 1))})
-    numbered = written(numbered, "numbered")
+    numbered = Written(numbered, "numbered").df
     counts = numbered.groupBy(_PART).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(_PART), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

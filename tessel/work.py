@@ -61,11 +61,18 @@ def put(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
+#: Files of a small table for each core of the cluster.
+NARROW = 4
+
+
 class Written:
     """A table written to the shared folder: cuts the lineage and survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str, sort: list[str] | None = None, folder: str | None = None):
+    def __init__(self, df: DataFrame, name: str, sort: list[str] | None = None, folder: str | None = None, narrow: bool = False):
+        """narrow: into few files, for tables that are small against what they come from."""
         self.spark = df.sparkSession
+        if narrow:
+            df = df.coalesce(NARROW * self.spark.sparkContext.defaultParallelism)
         self.path = f"{folder or shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         if sort:
             df = df.sortWithinPartitions(*sort)
@@ -88,4 +95,5 @@ class Written:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    return Written(df, name).df
+    """A small table, written."""
+    return Written(df, name, narrow=True).df
