@@ -190,7 +190,7 @@ class FingerprintIndex:
             .select("anchor", "differ")
         )
         # Written first, the small sides leave both sides of their joins to be split where a key is hot.
-        met = Written(rows.join(written(shared, "shared"), "anchor"), "met")
+        met = Written(rows.join(written(shared, "shared"), "anchor"), "met", narrow=True)
         same = met.df.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("holder"))
         flagged = met.df.join(written(same, "holders"), ["anchor", "stretch"])
         whole = flagged.where("new and doc_id > holder").select("doc_id", "form", "begin", "n")
@@ -198,10 +198,10 @@ class FingerprintIndex:
         asked = flagged.where("differ and doc_id = holder").groupBy("doc_id", "form").agg(F.collect_list(F.struct("begin", "n")).alias("asked"))
         texts = stored.select("doc_id", "form", "text").join(asked, ["doc_id", "form"])
         short_batches(stored.sparkSession)
-        windows = Written(texts.select("doc_id", "form", "text", "asked").mapInArrow(_window_rows(self.window), "window binary, doc_id long, form long, begin int"), "windows")
+        windows = Written(texts.select("doc_id", "form", "text", "asked").mapInArrow(_window_rows(self.window), "window binary, doc_id long, form long, begin int"), "windows", narrow=True)
         owners = windows.df.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
         single = windows.df.join(written(owners, "owners"), "window").where("doc_id > owner").select("doc_id", "form", "begin", F.lit(1).alias("n"))
-        return Written(whole.unionByName(single), "duplicated").df
+        return written(whole.unionByName(single), "duplicated")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
