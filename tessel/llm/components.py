@@ -36,13 +36,13 @@ def _mark(df: DataFrame) -> tuple:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component for every node that has a link; the component is its smallest node."""
     edges = links.select(F.greatest(a, b).cast("long").alias("hi"), F.least(a, b).cast("long").alias("lo")).where("hi <> lo").distinct()
-    now = Written(edges, "links")
+    now = Written(edges, "links", narrow=True)
     mark = _mark(now.df)
     for _ in range(MOST_ROUNDS):
         if not mark[0]:
             break
-        large = Written(_large_star(now.df), "large-star")
-        after = Written(_small_star(large.df), "links")
+        large = Written(_large_star(now.df), "large-star", narrow=True)
+        after = Written(_small_star(large.df), "links", narrow=True)
         now.drop()
         large.drop()
         now, before, mark = after, mark, _mark(after.df)

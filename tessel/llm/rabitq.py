@@ -159,7 +159,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     sent = blocked.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     sent = sent.select("*", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     short_batches(vectors.sparkSession, 1024)
-    found = Written(sent.groupBy(*place, "bi", "bj").applyInPandas(_compare(threshold), "rep long, links long, root long"), "vector-links").df
+    found = Written(sent.groupBy(*place, "bi", "bj").applyInPandas(_compare(threshold), "rep long, links long, root long"), "vector-links", narrow=True).df
     whole = components(found, "rep", "root")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     ends = classes.select("label", "k1", "k2", "rep", "copies").join(counts, "rep", "left").join(whole, F.col("rep") == F.col("node"), "left")

@@ -210,9 +210,9 @@ def near_links(classes: DataFrame, reach: int = REACH, shard: int = SHARD, sampl
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable)."""
     found = Written(fingerprints(docs, id_col, text_col), "fingerprints").df
-    classes = Written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes").df
+    classes = Written(found.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprint-classes", narrow=True).df
     links = components(near_links(classes, reach))
     joined = classes.join(links, classes["rep"] == links["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    by_class = Written(joined, "fingerprint-components").df
+    by_class = Written(joined, "fingerprint-components", narrow=True).df
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     return found.join(by_class, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
