@@ -61,8 +61,8 @@ def put(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
-#: Files of a small table for each core of the cluster.
-NARROW = 4
+#: A small table has a file for this many shuffle partitions, but at least so many for each core.
+NARROW, PER_CORE = 4, 8
 
 
 class Written:
@@ -72,7 +72,8 @@ class Written:
         """narrow: into few files, for tables that are small against what they come from."""
         self.spark = df.sparkSession
         if narrow:
-            df = df.coalesce(NARROW * self.spark.sparkContext.defaultParallelism)
+            partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.coalesce(max(PER_CORE * self.spark.sparkContext.defaultParallelism, partitions // NARROW))
         self.path = f"{folder or shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         if sort:
             df = df.sortWithinPartitions(*sort)
