@@ -73,7 +73,9 @@ class Written:
         self.spark = df.sparkSession
         if narrow:
             partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.coalesce(max(PER_CORE * self.spark.sparkContext.defaultParallelism, partitions // NARROW))
+            files = max(PER_CORE * self.spark.sparkContext.defaultParallelism, partitions // NARROW)
+            if partitions > 2 * files:  # else some tasks would read twice what others do, to save little
+                df = df.coalesce(files)
         self.path = f"{folder or shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
         if sort:
             df = df.sortWithinPartitions(*sort)
