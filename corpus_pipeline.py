@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import bpe, language, packing, simhash, substrings
+from tessel.llm import bpe, language, packing, shinglesets, substrings
 from tessel.llm.common import Written, plain, table
 
 
@@ -24,10 +24,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near-duplicates.
 
+    Those are joined by pairs whose sets of five-word shingles have a Jaccard similarity of at
+    least 0.8. Fingerprints of 64 bits can't find all of them (such a pair may differ in any
+    number of bits, about ten on average at 0.8), so the sets themselves are joined.
     Rows that share an id stay or go together; rows without an id stay.
     """
     rows, names = plain(docs, doc_id="doc_id", text="text")
-    found = simhash.near_duplicates(docs)
+    found = shinglesets.near_copies(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return rows.join(gone, rows["doc_id"].cast("long") == gone["gone_id"], "left_anti").toDF(*names)
 

@@ -50,6 +50,48 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert {r["doc_id"] for r in seen["best_fit_packing"]} == clean
 
 
+def near_copies():
+    """Texts with edits that leave a five-word Jaccard similarity on both sides of 0.8, and chains of them."""
+    r = random.Random(3)
+    words = [f"ka{k}lo" for k in range(600)]
+    common = r.choices(words, k=40)
+    rows = []
+    for _ in range(60):
+        text = r.choices(words, k=r.choice([3, 5, 9, 60, 150, 400])) + r.choice([[], common])
+        rows.append(text)
+        for _ in range(r.choice([0, 1, 3])):
+            text = list(text)
+            for _ in range(max(1, len(text) * r.choice([1, 2, 3, 4]) // 100)):
+                text[r.randrange(len(text))] = f"neu{r.randrange(10**6)}"
+            rows.append(text)
+    return [(d, " ".join(t)) for d, t in enumerate(rows)]
+
+
+def kept_by_brute_force(rows):
+    sets = {}
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    parent = {d: d for d in sets}
+    similar = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in similar:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    return {d for d in sets if parent[d] == d}
+
+
+@pytest.mark.parametrize("sample", [8192, 0])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, sample):
+    from tessel.llm import shinglesets
+
+    monkeypatch.setattr(shinglesets.near_copies, "__defaults__", (*shinglesets.near_copies.__defaults__[:-1], sample))
+    rows = near_copies()
+    want = kept_by_brute_force(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()} == want
+    assert 60 <= len(want) < len(rows) - 20
+
+
 def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark).limit(0), "").count() == 0
