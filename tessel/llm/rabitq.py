@@ -8,9 +8,10 @@ vector, so for a cosine of at least t the estimate can't be lower than
 settled, all others are computed again in double precision from the original components.
 
 Only vectors of one label (and dimension) meet. Exact copies are one vector with a count.
-Labels up to ``whole`` distinct vectors are compared whole, in square blocks; beyond that
-rows meet in tables of a few sign bits, with as many tables as keep the chance to miss a
-pair at the threshold under ``miss``. A pair counts in the first table that holds it.
+Labels of any size are compared whole, in square blocks, so no pair is missed; the work grows
+with the square of a label's distinct vectors. ``plan_tables`` can let rows meet in tables of a
+few sign bits instead, which misses a pair at the threshold with a chance under ``miss``; the
+operator doesn't ask for it. A pair counts in the first table that holds it.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and null
 labels, link with nothing and keep their row; rows that repeat a vec_id each get a row and share the count and the component; a row without a
@@ -35,7 +36,6 @@ from tessel.llm.simhash import Union
 from tessel.llm.vectors import by_dimension, matrix, rotation, unit, usable, vector_key
 
 THRESHOLD = 0.98
-WHOLE = 32_768
 BLOCK = 1024
 MISS = 1e-4
 SEED = 20
@@ -59,9 +59,9 @@ def lowest_estimate(factors: np.ndarray, threshold: float) -> np.ndarray:
     return threshold - np.sqrt(np.maximum(0.0, 1 / (f * f) - 1)) * math.sqrt(1 - threshold * threshold) - 1e-9
 
 
-def plan_tables(largest: int, threshold: float = THRESHOLD, whole: int = WHOLE, miss: float = MISS) -> tuple[int, int]:
-    """Sign bits of a table's key, and the number of tables."""
-    if largest <= whole:
+def plan_tables(largest: int, threshold: float = THRESHOLD, whole: int | None = None, miss: float = MISS) -> tuple[int, int]:
+    """Sign bits of a table's key, and the number of tables; whole: where tables may begin to lose pairs, never by default."""
+    if whole is None or largest <= whole:
         return 0, 1
     bits = max(4, math.ceil(math.log2(largest / 4096)))
     meet = (1 - math.acos(threshold) / math.pi) ** bits

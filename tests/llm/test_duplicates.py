@@ -262,6 +262,10 @@ def test_more_tables_keep_the_chance_to_miss_small():
         assert (1 - meet) ** tables <= rabitq.MISS
 
 
+def test_labels_of_any_size_are_compared_whole():
+    assert [rabitq.plan_tables(n) for n in (10, 32_769, 10**7)] == [(0, 1)] * 3
+
+
 def test_nearest_equals_brute_force_when_all_is_visited(spark, monkeypatch):
     monkeypatch.setattr(multiindex, "SHARD", 30)
     monkeypatch.setattr(multiindex, "BLOCK", 2)
