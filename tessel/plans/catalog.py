@@ -206,6 +206,14 @@ def align_tables(spark, d):
     return align(left, right, ["event_id"], ["o_orderkey"])
 
 
+@query("SELECT a.o_orderkey, b.by_price FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) r FROM orders) a JOIN (SELECT o_orderkey AS by_price, row_number() OVER (ORDER BY o_totalprice, o_orderkey) r FROM orders) b USING (r)")
+def align_whole_tables(spark, d):
+    """Two orders of a whole table."""
+    left = t(spark, d, "orders").select("o_orderkey")
+    right = t(spark, d, "orders").select(F.col("o_orderkey").alias("by_price"), F.col("o_totalprice"))
+    return align(left, right, ["o_orderkey"], ["o_totalprice", "by_price"]).select("o_orderkey", "by_price")
+
+
 # Functions through the registry.
 def _call(df: DataFrame, name: str, args: list[str], options) -> F.Column:
     return kernels.context().vector(name, [Datum.of(df, a) for a in args], options)
