@@ -18,6 +18,10 @@ from tessel.functions.registry import Kernel, Lifecycle
 from tessel.options import NoOptions, Options
 
 
+#: Keys of which a task holds states at once.
+MOST_STATES = 100_000
+
+
 class Session:
     """One running aggregate: update it with batches, merge others of the same kernel, finalize."""
 
@@ -47,15 +51,32 @@ def aggregate(df: DataFrame, lifecycle: Lifecycle, column: str, result: DataType
 
     Every partition folds its rows into one state a key, so a hot key travels as one small row
     from each task. States are merged in two steps, the first over ``spread`` parts of a key's
-    states, which needs nothing of merge but to be associative and commutative.
+    states, which needs nothing of merge but to be associative and commutative. A partition with
+    very many keys hands its states on when it holds ``MOST_STATES`` of them.
+
+    Cases: without keys an empty table has one result, that of an untouched state; with keys it has
+    none; null keys are a group of their own; a result name that is a key's is InvalidInput.
     """
+    if name in keys:
+        raise named("InvalidInput", name)
     keys = list(keys)
     rows = df.select(*(F.col(k).alias(f"k{n}") for n, k in enumerate(keys)), F.col(column).alias("value"))
     names = [f"k{n}" for n in range(len(keys))]
     state_type = StructType([*(StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)), StructField("part", rows.select(F.lit(0)).schema[0].dataType), StructField("state", rows.select(F.lit(b"")).schema[0].dataType)])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() % spread
         states: dict[tuple, Any] = {}
+
+        def handed_on() -> pa.RecordBatch:
+            items = list(states.items())
+            columns = [pa.array([k[n] for k, _ in items], batch_type(n)) for n in range(len(names))]
+            columns += [pa.array([part] * len(items), pa.int32()), pa.array([pickle.dumps(s) for _, s in items], pa.binary())]
+            states.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "part", "state"])
+
         for batch in batches:
             values = batch.column(len(names))
             if not names:
@@ -67,13 +88,9 @@ def aggregate(df: DataFrame, lifecycle: Lifecycle, column: str, result: DataType
             for key, at in index.items():
                 state = states[key] if key in states else lifecycle.init()
                 states[key] = lifecycle.update(state, values.take(pa.array(at)))
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId() % spread
-        items = list(states.items())
-        columns = [pa.array([k[n] for k, _ in items], batch_type(n)) for n in range(len(names))]
-        columns += [pa.array([part] * len(items), pa.int32()), pa.array([pickle.dumps(s) for _, s in items], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*names, "part", "state"])
+            if len(states) >= MOST_STATES:
+                yield handed_on()
+        yield handed_on()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -96,6 +113,9 @@ def aggregate(df: DataFrame, lifecycle: Lifecycle, column: str, result: DataType
         return run
 
     partial = rows.mapInArrow(fold, state_type)
+    if not names:
+        untouched = df.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(pickle.dumps(lifecycle.init())).alias("state"))
+        partial = partial.unionByName(untouched)
     once = partial.groupBy(*names, "part").applyInPandas(merged(False), state_type)
     final = StructType([*state_type.fields[: len(names)], StructField(name, result)])
     out = once.groupBy(*names).applyInPandas(merged(True), final)

@@ -1,4 +1,10 @@
-"""Lists, structs, maps, unions, dictionaries and run-end encoded columns."""
+"""Lists, structs, maps, unions, dictionaries and run-end encoded columns.
+
+Cases: null lists and structs give nulls or no elements, as each function says; repeated values are
+one word of a dictionary and one run where they are neighbours; nulls are no words, and equal as
+neighbours; empty tables give empty results; helper columns take names that the table doesn't have,
+and a result name that it has already is InvalidInput.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.errors import marker, named
-from tessel.operators.ordinal import RID, with_ordinal
+from tessel.operators.ordinal import RID, fresh, numbered_parts, unclaimed, with_ordinal
 from tessel.operators.permute import element_at
 from tessel.work import Written
 
@@ -31,7 +37,8 @@ def list_at(df: DataFrame, column: str, row: int, order_by: Sequence | None = No
 
 def list_flatten(df: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
     """All elements with their place: the child values, null and empty lists giving none."""
-    return df.select(*keep, F.posexplode(column).alias("position", "value"))
+    kept = df.select(*keep)
+    return df.select(*keep, F.posexplode(column).alias(unclaimed(kept, "position"), unclaimed(kept, "value")))
 
 
 def list_slice(c: Column, offset: int, length: int) -> Column:
@@ -51,13 +58,15 @@ def view_from_list(df: DataFrame, column: str, order_by: Sequence | None = None)
 
 def prefix_sum(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Sum of all values before each row in the order of a unique key, in two passes over ranges."""
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
+    unclaimed(df, name)
+    part, total, start = fresh(df, "__p", "__t", "__s")
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn(part, F.spark_partition_id())
     ranged = Written(ranged, "ranged").df
-    totals = ranged.groupBy("__p").agg(F.sum(value).alias("__t"))
-    starts = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
-    inner = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(part).agg(F.sum(value).alias(total))
+    starts = totals.select(part, F.coalesce(F.sum(total).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(start))
+    inner = Window.partitionBy(part).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn(name, F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return local.join(F.broadcast(starts), "__p").withColumn(name, (F.col(name) + F.col("__s")).cast("long")).drop("__p", "__s")
+    return local.join(F.broadcast(starts), part).withColumn(name, (F.col(name) + F.col(start)).cast("long")).drop(part, start)
 
 
 # Structs.
@@ -131,17 +140,20 @@ def dictionary_encode(df: DataFrame, column: str, order: str, name: str = "index
     The join is left to Spark, which broadcasts a dictionary it measures as small.
     """
     words = dictionary_of(df, column, order)
-    encoded = df.join(words, df[column] == words["value"], "left").drop("value").withColumnRenamed("index", name).drop(column)
-    return encoded, words
+    unclaimed(df.drop(column), name)
+    index, word = fresh(df, "__index", "__word")
+    encoded = df.join(words.select(F.col("index").alias(index), F.col("value").alias(word)), F.col(f"`{column}`") == F.col(word), "left")
+    return encoded.drop(column, word).withColumnRenamed(index, name), words
 
 
 def dictionary_decode(df: DataFrame, words: DataFrame, index: str, name: str) -> DataFrame:
     """Values in place of indices; an index that the dictionary doesn't have is IndexOutOfRange."""
-    w = words.select(F.col("index").alias("__w"), F.col("value").alias("__v"))
-    joined = df.join(w, F.col(index) == F.col("__w"), "left")
+    unclaimed(df.drop(index), name)
+    at, word, out = fresh(df, "__w", "__v", "__out")
+    joined = df.join(words.select(F.col("index").alias(at), F.col("value").alias(word)), F.col(f"`{index}`") == F.col(at), "left")
     t = words.schema["value"].dataType.simpleString()
-    value = F.when(F.col(index).isNotNull() & F.col("__w").isNull(), _raise("IndexOutOfRange", t)).otherwise(F.col("__v"))
-    return joined.withColumn(name, value).drop(index, "__w", "__v")
+    value = F.when(F.col(f"`{index}`").isNotNull() & F.col(at).isNull(), _raise("IndexOutOfRange", t)).otherwise(F.col(word))
+    return joined.withColumn(out, value).drop(index, at, word).withColumnRenamed(out, name)
 
 
 def emission(previous: DataFrame | None, current: DataFrame) -> tuple[str, DataFrame]:
@@ -175,25 +187,50 @@ def apply_emission(previous: DataFrame | None, kind: str, rows: DataFrame) -> Da
 def run_end_encode(df: DataFrame, column: str, order: str) -> DataFrame:
     """run_end (exclusive, from the first row), value of every run of equal values; nulls are equal.
 
-    Rows are numbered, so a run starts where a row differs from the one numbered before it.
-    Neighbours meet by a join on the number, not by a window over the whole table.
+    Rows are sorted into ranges, in each of which neighbours meet by a window; the last row of a
+    range meets the first one of the next range by a table of a row for each range.
     """
-    rows = with_ordinal(df.select(F.col(column).alias("value"), order), [order]).select(F.col(RID).alias("at"), "value")
-    after = rows.select((F.col("at") - 1).alias("before"), F.col("value").alias("next"))
-    ends = rows.join(after, rows["at"] == after["before"], "left")
-    last = F.col("before").isNull() | ~F.col("value").eqNullSafe(F.col("next"))
-    return ends.where(last).select((F.col("at") + 1).alias("run_end"), "value")
+    rows, starts = _ranges(df.select(F.col(column).alias("value"), F.col(order).alias("at")), ["at"])
+    inner = Window.partitionBy("part").orderBy("local")
+    seen = rows.select("part", "local", "value", F.lead("local").over(inner).isNull().alias("ends_range"), F.lead("value").over(inner).alias("next"))
+    ends = seen.join(F.broadcast(starts), "part")
+    differs = F.when(F.col("ends_range"), F.col("is_last") | ~F.col("value").eqNullSafe(F.col("head_after"))).otherwise(~F.col("value").eqNullSafe(F.col("next")))
+    return ends.where(differs).select((F.col("start") + F.col("local") + 1).alias("run_end"), "value")
+
+
+def _ranges(df: DataFrame, order_by: Sequence) -> tuple[DataFrame, DataFrame]:
+    """Rows (part, local and the columns) in sorted ranges, and of each range start, head_before, head_after (values), is_last."""
+    rows = numbered_parts(df, order_by, "part", "local")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max_by("value", "local").alias("tail"), F.min_by("value", "local").alias("head"))
+    by_part = Window.orderBy("part")
+    start = F.coalesce(F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows, counts.select("part", start.alias("start"), F.lag("tail").over(by_part).alias("tail_before"), F.lead("head").over(by_part).alias("head_after"), F.lead("part").over(by_part).isNull().alias("is_last"))
+
+
+#: Rows of a run that are spread out at once; longer runs go in pieces.
+PIECE = 1 << 20
+
+
+def _spread(spans: DataFrame, begin: str, end: str, name: str) -> DataFrame:
+    """A row for every whole number from begin to before end, in place of those. Long spans are cut into pieces, which are dealt out."""
+    piece, longest = fresh(spans, "__piece")[0], spans.agg(F.max(F.col(end) - F.col(begin))).first()[0] or 0
+    cut = spans.where(F.col(end) > F.col(begin)).withColumn(piece, F.explode(F.sequence(F.col(begin), F.col(end) - 1, F.lit(PIECE).cast("long"))))
+    if longest > PIECE:
+        cut = cut.repartition(piece)
+    return cut.withColumn(name, F.explode(F.sequence(F.col(piece), F.least(F.col(piece) + PIECE, F.col(end)) - 1))).drop(begin, end, piece)
 
 
 def run_end_decode(runs: DataFrame, length: int | None = None) -> DataFrame:
     """rid, value of every row; rows beyond the last run are InvalidRunEnds."""
-    numbered = with_ordinal(runs, ["run_end"])
-    before = numbered.select((F.col(RID) + 1).alias("__next"), F.col("run_end").alias("start"))
-    spans = numbered.join(before, numbered[RID] == before["__next"], "left").select(F.coalesce("start", F.lit(0)).alias("start"), "run_end", "value")
-    if length is not None and (runs.agg(F.max("run_end")).first()[0] or 0) < length:
-        raise named("InvalidRunEnds", str(length))
-    out = spans.select(F.explode(F.sequence("start", F.col("run_end") - 1)).alias("rid"), "value")
-    return out if length is None else out.where(F.col("rid") < length)
+    rows, ranges = _ranges(runs.select(F.col("run_end").cast("long").alias("value"), F.col("value").alias("word")), ["value"])
+    inner = Window.partitionBy("part").orderBy("local")
+    before = F.coalesce(F.lag("value").over(inner), F.when(F.col("local") == 0, F.col("tail_before")), F.lit(0))
+    spans = rows.join(F.broadcast(ranges), "part").select(before.alias("start"), F.col("value").alias("run_end"), F.col("word").alias("value"))
+    if length is not None:
+        if (runs.agg(F.max("run_end")).first()[0] or 0) < length:
+            raise named("InvalidRunEnds", str(length))
+        spans = spans.withColumn("run_end", F.least("run_end", F.lit(length).cast("long")))
+    return _spread(spans, "start", "run_end", "rid").select("rid", "value")
 
 
 def run_end_value(runs: DataFrame, index: int) -> DataFrame:

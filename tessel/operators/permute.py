@@ -1,4 +1,10 @@
-"""Row permutations: slice, take, filter, row-wise select, concat, typed empty and null tables."""
+"""Row permutations: slice, take, filter, row-wise select, concat, typed empty and null tables.
+
+Cases: nulls travel with their rows; rows that tie in ``order_by`` are numbered in any order among
+themselves; equal rows each count; empty tables give empty results, and every index into them is
+out of range; helper columns take names that the table doesn't have, and a table with a column of
+a result's own name (position) is InvalidInput.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, StructType
 
 from tessel.errors import marker, named
-from tessel.operators.ordinal import RID, with_ordinal
+from tessel.operators.ordinal import RID, first_ordinals, fresh, unclaimed, with_ordinal
 from tessel.options import FilterOptions
 from tessel.schema import same_schema
 
@@ -23,8 +29,8 @@ def slice_rows(df: DataFrame, offset: int, length: int, order_by: Order = None)
     n = df.count()
     if offset < 0 or length < 0 or offset + length > n:
         raise named("SliceOutOfBounds", f"{offset} + {length} of {n}")
-    rid = F.col(RID)
-    return with_ordinal(df, order_by).where((rid >= offset) & (rid < offset + length)).drop(RID)
+    (rid,) = fresh(df, RID)
+    return first_ordinals(df, offset + length, order_by, rid).where((F.col(rid) >= offset) & (F.col(rid) < offset + length)).drop(rid)
 
 
 def slice_empty(df: DataFrame) -> DataFrame:
@@ -37,19 +43,32 @@ def take(df: DataFrame, indices: DataFrame, order_by: Order = None, nullable: bo
     indices: position and index, both whole numbers. The result keeps position, by which it
     is in order; rows out of range are InvalidInput when the result is computed.
     """
-    rows = with_ordinal(df, order_by)
-    asked = indices.select(F.col(POSITION).cast("long").alias(POSITION), F.col("index").cast("long").alias("__index"))
-    joined = asked.join(rows, asked["__index"] == rows[RID], "left")
-    lost = F.col(RID).isNull() if not nullable else F.col("__index").isNotNull() & F.col(RID).isNull()
-    checked = F.when(lost, F.raise_error(F.lit(marker("InvalidInput"))).cast("long")).otherwise(F.col(POSITION))
-    return joined.withColumn(POSITION, checked).select(POSITION, *df.columns)
+    unclaimed(df, POSITION)
+    (rid,) = fresh(df, RID)
+    return _taken(with_ordinal(df, order_by, rid), rid, indices, nullable, POSITION)
+
+
+def _taken(rows: DataFrame, rid: str, indices: DataFrame, nullable: bool, position: str) -> DataFrame:
+    """The numbered rows that the indices name, beside their position."""
+    columns = [c for c in rows.columns if c != rid]
+    at, index = fresh(rows, "__position", "__index")
+    asked = indices.select(F.col(POSITION).cast("long").alias(at), F.col("index").cast("long").alias(index))
+    joined = asked.join(rows, F.col(index) == F.col(rid), "left")
+    lost = F.col(rid).isNull() if not nullable else F.col(index).isNotNull() & F.col(rid).isNull()
+    checked = F.when(lost, F.raise_error(F.lit(marker("InvalidInput"))).cast("long")).otherwise(F.col(at))
+    return joined.select(checked.alias(position), *(F.col(f"`{c}`") for c in columns))
 
 
 def take_list(df: DataFrame, indices: Sequence[int | None], order_by: Order = None) -> DataFrame:
-    """take with the indices in hand; a null among them makes it nullable."""
-    spark = df.sparkSession
-    asked = spark.createDataFrame([(k, i) for k, i in enumerate(indices)], f"{POSITION} long, index long")
-    return take(df, asked, order_by, nullable=any(i is None for i in indices))
+    """take with the indices in hand; a null among them makes it nullable. Only rows up to the greatest index are numbered."""
+    return _take_list(df, indices, order_by, unclaimed(df, POSITION))
+
+
+def _take_list(df: DataFrame, indices: Sequence[int | None], order_by: Order, position: str) -> DataFrame:
+    asked = df.sparkSession.createDataFrame([(k, i) for k, i in enumerate(indices)], f"{POSITION} long, index long")
+    (rid,) = fresh(df, RID)
+    rows = first_ordinals(df, max((i for i in indices if i is not None), default=-1) + 1, order_by, rid)
+    return _taken(rows, rid, asked, any(i is None for i in indices), position)
 
 
 def take_scalar(value: Column, indices: DataFrame) -> DataFrame:
@@ -58,7 +77,8 @@ def take_scalar(value: Column, indices: DataFrame) -> DataFrame:
 
 
 def element_at(df: DataFrame, index: int, order_by: Order = None) -> DataFrame:
-    return take_list(df, [index], order_by).drop(POSITION)
+    (position,) = fresh(df, "__position")
+    return _take_list(df, [index], order_by, position).drop(position)
 
 
 def _boolean(df: DataFrame, predicate: Column) -> None:
@@ -71,16 +91,19 @@ def filter_rows(df: DataFrame, predicate: Column, options: FilterOptions = Filte
     _boolean(df, predicate)
     if options.drop_nulls:
         return df.where(predicate)
-    marked = df.withColumn("__keep", predicate).where(F.col("__keep").isNull() | F.col("__keep"))
-    return marked.select(*(F.when(F.col("__keep"), F.col(f"`{c}`")).alias(c) for c in df.columns))
+    (keep,) = fresh(df, "__keep")
+    marked = df.withColumn(keep, predicate).where(F.col(keep).isNull() | F.col(keep))
+    return marked.select(*(F.when(F.col(keep), F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
 def selection_indices(df: DataFrame, predicate: Column, options: FilterOptions = FilterOptions(), order_by: Order = None) -> DataFrame:
     """rid, index: the row numbers a filter selects; a null index stands for an emitted null row."""
     _boolean(df, predicate)
-    rows = with_ordinal(df.withColumn("__keep", predicate), order_by)
-    kept = rows.where(F.col("__keep") if options.drop_nulls else F.col("__keep").isNull() | F.col("__keep"))
-    return kept.select(F.col(RID).alias("rid"), F.when(F.col("__keep"), F.col(RID)).alias("index"))
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by or ()]
+    names = [f"k{n}" for n in range(len(keys))]
+    rows = with_ordinal(df.select(predicate.alias("keep"), *(k.alias(n) for k, n in zip(keys, names))), names or None)
+    kept = rows.where(F.col("keep") if options.drop_nulls else F.col("keep").isNull() | F.col("keep"))
+    return kept.select(F.col(RID).alias("rid"), F.when(F.col("keep"), F.col(RID)).alias("index"))
 
 
 def choose(index: Column, values: Sequence[Column], nullable: bool = False) -> Column:

@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from tessel.errors import named, translate
-from tessel.operators.ordinal import RID, with_ordinal
+from tessel.operators import nested
 
 
 def non_null(c: str) -> tuple[str, Column]:
@@ -64,10 +64,11 @@ def index_violations(df: DataFrame, index: str, words: DataFrame, keep: Sequence
 
 def run_end_violations(runs: DataFrame, order: str) -> DataFrame:
     """Runs whose end isn't above the end before it, or above 0."""
-    rows = with_ordinal(runs, [order])
-    before = rows.select((F.col(RID) + 1).alias("__next"), F.col("run_end").alias("__end"))
-    joined = rows.join(before, rows[RID] == before["__next"], "left")
-    return joined.where(F.col("run_end") <= F.coalesce("__end", F.lit(0))).select(order, "run_end", F.lit("InvalidRunEnds").alias("error"))
+    rows, ranges = nested._ranges(runs.select(F.col("run_end").alias("value"), F.col(order).alias("at")), ["at"])
+    inner = Window.partitionBy("part").orderBy("local")
+    before = F.coalesce(F.lag("value").over(inner), F.when(F.col("local") == 0, F.col("tail_before")), F.lit(0))
+    seen = rows.join(F.broadcast(ranges), "part").select("at", "value", before.alias("before"))
+    return seen.where(F.col("value") <= F.col("before")).select(F.col("at").alias(order), F.col("value").alias("run_end"), F.lit("InvalidRunEnds").alias("error"))
 
 
 def check(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> None:

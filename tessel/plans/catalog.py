@@ -199,15 +199,8 @@ def concat_ordered(spark, d):
     return permute.concat_ordered(parts, ["name"])
 
 
-@query("SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) r FROM events WHERE event_id < 1000) e JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) r FROM orders LIMIT 1000) o USING (r)")
-def align_tables(spark, d):
-    left = t(spark, d, "events").select("event_id").where("event_id < 1000")
-    right = permute.slice_rows(t(spark, d, "orders").select("o_orderkey"), 0, left.count(), ["o_orderkey"])
-    return align(left, right, ["event_id"], ["o_orderkey"])
-
-
 @query("SELECT a.o_orderkey, b.by_price FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) r FROM orders) a JOIN (SELECT o_orderkey AS by_price, row_number() OVER (ORDER BY o_totalprice, o_orderkey) r FROM orders) b USING (r)")
-def align_whole_tables(spark, d):
+def align_tables(spark, d):
     """Two orders of a whole table."""
     left = t(spark, d, "orders").select("o_orderkey")
     right = t(spark, d, "orders").select(F.col("o_orderkey").alias("by_price"), F.col("o_totalprice"))
@@ -330,6 +323,17 @@ def lifecycle_global(spark, d):
     return aggregate.aggregate(t(spark, d, "events"), kernels.COUNT_ROWS, "value", LongType(), name="n_rows")
 
 
+@query("SELECT cast(0 AS bigint) AS n_rows")
+def lifecycle_empty(spark, d):
+    """Without keys an empty table still has a result."""
+    return aggregate.aggregate(permute.slice_empty(t(spark, d, "events")), kernels.COUNT_ROWS, "value", LongType(), name="n_rows")
+
+
+@query("SELECT l_returnflag, count(*) AS n_rows FROM lineitem WHERE false GROUP BY 1")
+def lifecycle_empty_by_key(spark, d):
+    return aggregate.aggregate(permute.slice_empty(t(spark, d, "lineitem")), kernels.COUNT_ROWS, "l_quantity", LongType(), ["l_returnflag"], "n_rows")
+
+
 # Sorting.
 @query("SELECT c_custkey, cast(row_number() OVER (ORDER BY nullif(c_mktsegment, 'BUILDING') DESC NULLS LAST, c_custkey) - 1 AS bigint) AS position FROM customer")
 def sort_nulls_last_desc(spark, d):

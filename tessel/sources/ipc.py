@@ -142,16 +142,16 @@ class Done(WriterCommitMessage):
 
 
 class IpcWriter(DataSourceArrowWriter):
-    """One IPC stream or file per task, named after it is whole; an aborted job removes its parts."""
+    """One IPC stream or file per task, named after it is whole; an aborted job removes its parts.
+
+    What an overwrite replaces goes once all tasks are done, so a job that fails leaves it as it
+    was, and a job may read what it replaces.
+    """
 
     def __init__(self, schema: StructType, options: dict, overwrite: bool):
         self.schema, self.options = schema, options
         self.path, self.overwrite = options["path"], overwrite
         self.job = uuid.uuid4().hex[:8]
-        if overwrite:
-            fs, p = file_system(self.path)
-            if fs.get_file_info(p).type == pafs.FileType.Directory:
-                fs.delete_dir_contents(p)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -176,11 +176,23 @@ class IpcWriter(DataSourceArrowWriter):
         fs.move(draft, final)
         return Done(final, rows)
 
+    def commit(self, messages: list) -> None:
+        fs, p = file_system(self.path)
+        fs.create_dir(p, recursive=True)
+        mine = {posixpath.basename(m.path) for m in messages if m is not None}
+        for f in fs.get_file_info(pafs.FileSelector(p)):
+            draft = f.base_name.startswith("_part-") and f"-{self.job}." in f.base_name
+            if draft or self.overwrite and f.base_name not in mine:
+                fs.delete_file(f.path) if f.is_file else fs.delete_dir(f.path)
+
     def abort(self, messages: list) -> None:
-        fs, _ = file_system(self.path)
+        fs, p = file_system(self.path)
         for m in messages:
             if m is not None:
                 fs.delete_file(m.path)
+        for f in fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)):
+            if f.base_name.startswith("_part-") and f"-{self.job}." in f.base_name:
+                fs.delete_file(f.path)
 
 
 class ArrowIpc(DataSource):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.errors import named
+from tessel.operators.nested import _spread
 from tessel.sources.ipc import file_system
 
 ROW = "ordinal int, kind string, value_type string, shape array<bigint>, dim_names array<string>, strides array<bigint>, values array<double>, coords array<array<bigint>>"
@@ -96,5 +97,5 @@ def entries(df: DataFrame) -> DataFrame:
 
 def csr_entries(indptr: DataFrame, indices: DataFrame) -> DataFrame:
     """row, col, value from (row, begin, end) pointers and (position, col, value) entries."""
-    spread = indptr.where("end > begin").select("row", F.explode(F.expr("sequence(begin, end - 1)")).alias("position"))
-    return spread.join(indices, "position").select("row", "col", "value")
+    spans = indptr.select("row", F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
+    return _spread(spans, "begin", "end", "position").join(indices, "position").select("row", "col", "value")

@@ -12,21 +12,39 @@ from pyspark.sql.types import StructType
 
 from tessel.sources.ipc import Part, file_system, list_files, loadable_batch, open_reader, wanted
 
+#: Seconds for which a file may turn up after newer ones, unless the option max_file_age says otherwise.
+MAX_AGE = 7 * 24 * 3600
+
 
 class FolderStream(DataSourceStreamReader):
-    """Files by name: the offset is the last name read, so writers add files in ascending order."""
+    """Every file once, whatever its name and whenever it turns up.
+
+    The offset lists the files seen that were changed within ``max_file_age`` seconds of the newest
+    one, and the time before which all count as seen, so it doesn't grow with the folder's age. A
+    file that turns up with an older time than that is left out, as Spark's own file source does.
+    """
 
     def __init__(self, schema: StructType, options: dict):
         self.options, self.path = options, options["path"]
+        self.max_age = int(float(options.get("max_file_age", MAX_AGE)) * 1e9)
+
+    def _times(self) -> dict[str, int]:
+        fs, _ = file_system(self.path)
+        return {i.path: int(i.mtime_ns or 0) for i in fs.get_file_info(list_files(self.path))}
 
     def initialOffset(self) -> dict:
-        return {"last": ""}
+        return {"before": -1, "seen": {}}
 
     def latestOffset(self) -> dict:
-        return {"last": max(list_files(self.path), default="")}
+        times = self._times()
+        before = max(times.values(), default=0) - self.max_age
+        return {"before": before, "seen": {f: at for f, at in sorted(times.items()) if at >= before}}
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
-        return [Part(f, -1) for f in list_files(self.path) if start["last"] < f <= end["last"]]
+        new = [f for f in end["seen"] if f not in start["seen"] and end["seen"][f] >= start["before"]]
+        # Those that are too old to be listed in the end, but weren't so at the start.
+        aged = [f for f, at in self._times().items() if start["before"] <= at < end["before"] and f not in start["seen"]]
+        return [Part(f, -1) for f in sorted({*new, *aged})]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         fs, _ = file_system(self.path)

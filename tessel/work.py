@@ -14,11 +14,15 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application below ``spark.checkpoint.dir``.
 
-    Where the setting is missing (local runs, tests) the driver's temporary folder serves.
+    Where the setting is missing, the driver's temporary folder serves if driver and executors
+    are one process; on a cluster each would write to its own disk, so that is an error.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that driver and executors share ({master})")
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="tessel-")
             _remove_at_exit(spark, _local[app])

@@ -9,7 +9,7 @@ from tessel.operators import permute
 from tessel.plans import catalog
 
 #: Queries whose semantics need Python: custom aggregates, the IPC source and its hand-over.
-PYTHON = {"lifecycle_count", "lifecycle_custom", "lifecycle_global", "ipc_file_roundtrip", "ipc_stream_roundtrip", "ipc_dictionary_delta", "ipc_batch_at"}
+PYTHON = {"lifecycle_count", "lifecycle_custom", "lifecycle_global", "lifecycle_empty", "lifecycle_empty_by_key", "ipc_file_roundtrip", "ipc_stream_roundtrip", "ipc_dictionary_delta", "ipc_batch_at"}
 
 
 def plan(df):
