@@ -5,13 +5,20 @@ bytes than the texts hold, so the index keeps one *anchor* per stretch of window
 half-length word sequences inside a window the one with the smallest hash. Equal windows
 choose equal anchors, so nothing is lost; about one word in thirteen starts an anchor.
 
-The index is a set of sorted immutable runs (anchor hash, hash of the whole stretch of
-words whose windows chose it, document, place). A new batch of documents, all with larger
-ids than the indexed ones, becomes a run; it is merge-joined with the runs before it; the
-finds are verified; then small runs are compacted into one. Verification is by the words:
-a stretch that occurs whole in an earlier document settles all its windows at once; where
-stretches differ, their first documents are read again and each of their windows is
-compared by 128 bits of its words.
+The index is a set of sorted immutable runs, each dealt into the same buckets by anchor: anchor
+hash, hash of the whole stretch of words whose windows chose it, and the first document and place
+that has it. A new batch of documents, all with larger ids than the indexed ones, becomes a run;
+it is merge-joined with the runs before it, bucket by bucket as they lie, so no older run is ever
+shuffled; the finds are verified; and more than ``fan_out`` runs are compacted into one, which
+keeps of each stretch its first holder. Verification is by hashes of the words: a stretch that
+occurs whole in an earlier document (64 bits of anchor and 64 of stretch agree) settles all its
+windows at once; where stretches of one anchor differ, their first documents are read again and
+each of their windows is compared by 128 bits of its words. The words themselves are not compared.
+
+Documents lie in slots, which are the splits they were read in, or hashes of their ids where they
+come without. A slot hands on each of its stretches once, whatever the number of its documents
+that hold it, so a passage that very many documents share is no hot key; what the index finds
+goes back to the slots, where the documents' anchors and texts lie, and neither is shuffled.
 
 Cases: null, empty and short texts have no window; white space is the ASCII one only and
 words stay as they are; within one document nothing is removed for its own repeats; rows
@@ -30,11 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessel.llm.common import Written, plain, short_batches, written
+from tessel.llm.common import Bucketed, Written, plain, settings, short_batches, written
 
 WINDOW = 50
-#: Runs that stay side by side before they are merged.
-FAN_OUT = 4
+#: Runs that stay side by side before they are merged, and batches in which a table is indexed.
+FAN_OUT = 2
+BATCHES = 4
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -80,15 +88,50 @@ def stretches(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.
 
 
 #: form: a hash of the text, which tells apart rows that repeat a doc_id.
-RUN = "anchor long, stretch long, doc_id long, form long, begin int, n int"
+OCCURS = "slot int, doc_id long, form long, anchor long, stretch long, begin int, n int"
+#: A row for each stretch and slot, or for each stretch where runs were compacted: the first document that has it; last: the greatest doc_id.
+RUN = "anchor long, stretch long, doc_id long, form long, slot int, begin int, n int, last long"
+FIRST = ("doc_id", "form", "slot", "begin", "n")
+
+#: Under these, sorted buckets are merged as they lie, and rows that lie by slot needn't be dealt again for joins on more columns.
+AS_THEY_LIE = {
+    "spark__sql__legacy__bucketedTableScan__outputOrdering": "true",
+    "spark__sql__execution__replaceHashWithSortAgg": "true",
+    "spark__sql__requireAllClusterKeysForCoPartition": "false",
+}
+
+
+def bucket_count(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slots(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket a number that Spark deals into it."""
+    wide = 32 * buckets
+    while True:
+        number = F.col("id").cast("int")
+        found = spark.range(wide).groupBy(F.pmod(F.hash(number), F.lit(buckets)).alias("b")).agg(F.min(number).alias("v")).collect()  # a row for each bucket
+        if len(found) == buckets:
+            return [r["v"] for r in sorted(found, key=lambda r: r["b"])]
+        wide *= 2
+
+
+def laid_out(docs: DataFrame, buckets: int, by_split: bool = False) -> Bucketed:
+    """The documents in slots: by the split they are read in, without moving any; or by a hash of id and form, the same for all tables."""
+    spark = docs.sparkSession
+    if by_split:
+        docs = docs.withColumn("slot", F.get(F.lit(slots(spark, buckets)), F.pmod(F.spark_partition_id(), F.lit(buckets))))
+    elif "slot" not in docs.columns:
+        docs = docs.withColumn("slot", F.hash("doc_id", "form")).repartition(buckets, "slot")
+    return Bucketed(docs, "documents", buckets, ["slot"], sort=False)
 
 
 def _anchor_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_64_intdigest
         for batch in batches:
-            docs, forms, anchors, whole, begins, counts = [], [], [], [], [], []
-            for doc_id, text, form in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            places, docs, forms, anchors, whole, begins, counts = [], [], [], [], [], [], []
+            for slot, doc_id, form, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words = words_of(text)
                 anchor, begin, n = stretches(words, window)
                 if not len(anchor):
@@ -101,35 +144,36 @@ def _anchor_rows(window: int):
                 anchors.append(anchor)
                 begins.append(begin)
                 counts.append(n)
+                places.append(np.full(len(begin), slot, np.int32))
                 docs.append(np.full(len(begin), doc_id, np.int64))
                 forms.append(np.full(len(begin), form, np.int64))
             if docs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(whole).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(forms)), pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32))],
-                    names=["anchor", "stretch", "doc_id", "form", "begin", "n"],
+                    [pa.array(np.concatenate(c)) for c in (places, docs, forms, [a.view(np.int64) for a in anchors], [w.view(np.int64) for w in whole], [b.astype(np.int32) for b in begins], [c.astype(np.int32) for c in counts])],
+                    names=["slot", "doc_id", "form", "anchor", "stretch", "begin", "n"],
                 )
 
     return run
 
 
 def _window_rows(window: int):
-    """Hashes of the windows asked for: doc_id, form, text, begins and counts in; one row per window out."""
+    """Hashes of the windows asked for: slot, doc_id, form, text and stretches in; one row per window out, with its place in its stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, forms, found, at = [], [], [], []
-            for doc_id, form, text, asked in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            found, rows = [], []
+            for slot, doc_id, form, text, asked in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 words = words_of(text)
                 joined = b" ".join(words)
                 ends = np.cumsum([len(w) + 1 for w in words])
                 first = np.concatenate(([0], ends[:-1])).tolist()
-                places = sorted({b + k for b, n in ((x["begin"], x["n"]) for x in asked) for k in range(n)})
-                found += [h(joined[first[p] : ends[p + window - 1] - 1]) for p in places]
-                at += places
-                ids += [doc_id] * len(places)
-                forms += [form] * len(places)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(ids, pa.int64()), pa.array(forms, pa.int64()), pa.array(at, pa.int32())], names=["window", "doc_id", "form", "begin"])
+                for x in asked:
+                    found += [h(joined[first[p] : ends[p + window - 1] - 1]) for p in range(x["begin"], x["begin"] + x["n"])]
+                    rows += [(slot, doc_id, form, x["anchor"], x["stretch"], k) for k in range(x["n"])]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            columns = zip(*rows) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *(pa.array(c, t) for c, t in zip(columns, kinds))], names=["window", "slot", "doc_id", "form", "anchor", "stretch", "k"])
 
     return run
 
@@ -138,17 +182,19 @@ class FingerprintIndex:
     """Runs of anchors. Documents come in batches of ascending ids.
 
     folder: where the runs are kept for later applications, which ``open`` them by their
-    paths; by default they last as long as this one.
+    paths; by default they last as long as this one. buckets: the same for all its runs.
     """
 
-    def __init__(self, window: int = WINDOW, fan_out: int = FAN_OUT, folder: str | None = None):
-        self.window, self.fan_out, self.folder = window, fan_out, folder
-        self.runs: list[Written] = []
+    def __init__(self, window: int = WINDOW, fan_out: int = FAN_OUT, folder: str | None = None, buckets: int | None = None):
+        self.window, self.fan_out, self.folder, self.buckets = window, fan_out, folder, buckets
+        self.runs: list[Bucketed] = []
+        self.compactions = 0
 
     @classmethod
     def open(cls, spark: SparkSession, paths: list[str], folder: str, window: int = WINDOW, fan_out: int = FAN_OUT) -> FingerprintIndex:
         self = cls(window, fan_out, folder)
-        self.runs = [Written.at(spark, p) for p in paths]
+        self.runs = [Bucketed.at(spark, p, RUN, ["anchor"]) for p in paths]
+        self.buckets = self.runs[0].buckets if self.runs else None
         return self
 
     @property
@@ -161,47 +207,74 @@ class FingerprintIndex:
         docs, stored: doc_id, text and form of the batch, and of all documents that the index has
         seen, the batch included (by default the batch alone); texts are read from there.
         """
-        stored = docs if stored is None else stored
-        new = Written(docs.select("doc_id", "text", "form").mapInArrow(_anchor_rows(self.window), RUN), "anchors", sort=["anchor"], folder=self.folder)
-        union = new.df.withColumn("new", F.lit(True))
-        for old in self.runs:
-            union = union.unionByName(old.df.withColumn("new", F.lit(False)))
-        found = self._duplicates(union, stored)
-        self.runs.append(new)
-        self._compact()
+        self.buckets = self.buckets or bucket_count(docs.sparkSession)
+        lying = laid_out((docs if stored is None else stored).select("doc_id", "text", "form"), self.buckets)
+        batch = lying if stored is None else laid_out(docs.select("doc_id", "text", "form"), self.buckets)
+        return self.add_anchors(self.anchors(batch.df).df, lying.df).select("doc_id", "form", "begin", "n")
+
+    def anchors(self, docs: DataFrame) -> Bucketed:
+        """The stretches of documents that lie in slots, in the same slots."""
+        short_batches(docs.sparkSession)
+        found = docs.where("doc_id is not null").select("slot", "doc_id", "form", "text").mapInArrow(_anchor_rows(self.window), OCCURS)
+        return Bucketed(found, "occurs", self.buckets, ["slot"], sort=False)
+
+    def add_anchors(self, occurs: DataFrame, stored: DataFrame) -> DataFrame:
+        """The same for a batch whose anchors lie in slots, as do the documents in stored: slot, doc_id, form, begin, n."""
+        with settings(occurs.sparkSession, **AS_THEY_LIE):
+            once = occurs.groupBy("slot", "anchor", "stretch").agg(F.min(F.struct("doc_id", "form", "begin", "n")).alias("first"), F.max("doc_id").alias("last"))
+            rows = once.select("anchor", "stretch", "first.doc_id", "first.form", "slot", "first.begin", "first.n", "last")
+            new = Bucketed(rows.repartition(self.buckets, "anchor"), "anchors", self.buckets, ["anchor"], folder=self.folder)
+            found = self._duplicates(new, occurs, stored)
+            self.runs.append(new)
+            self._compact()
         return found
 
     def _compact(self) -> None:
+        """Joins all runs into one, bucket by bucket, if they are too many."""
         if len(self.runs) <= self.fan_out:
             return
-        merged = self.runs[0].df
-        for run in self.runs[1:]:
-            merged = merged.unionByName(run.df)
-        new = Written(merged.repartition("anchor"), "anchors", sort=["anchor"], folder=self.folder)
+        merged = self._all([r.df for r in self.runs]).groupBy("anchor", "stretch").agg(F.min(F.struct(*FIRST)).alias("first"), F.max("last").alias("last"))
+        new = Bucketed(merged.select("anchor", "stretch", *(f"first.{c}" for c in FIRST), "last"), "anchors", self.buckets, ["anchor"], folder=self.folder)
         for run in self.runs:
             run.drop()
-        self.runs = [new]
-
-    def _duplicates(self, rows: DataFrame, stored: DataFrame) -> DataFrame:
-        shared = (
-            rows.groupBy("anchor")
-            .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("new").alias("some_new"), (F.min("stretch") != F.max("stretch")).alias("differ"))
-            .where("first < last and some_new")
-            .select("anchor", "differ")
-        )
-        # Written first, the small sides leave both sides of their joins to be split where a key is hot.
-        met = Written(rows.join(written(shared, "shared"), "anchor"), "met", narrow=True)
-        same = met.df.groupBy("anchor", "stretch").agg(F.min("doc_id").alias("holder"))
-        flagged = met.df.join(written(same, "holders"), ["anchor", "stretch"])
-        whole = flagged.where("new and doc_id > holder").select("doc_id", "form", "begin", "n")
+        self.runs, self.compactions = [new], self.compactions + 1
+
+    @staticmethod
+    def _all(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def shared(self, new: DataFrame) -> DataFrame:
+        """anchor, differ: the new run's anchors that an earlier document has, by a merge join with each older run."""
+        both = new.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("last").alias("last"), F.min("stretch").alias("lo"), F.max("stretch").alias("hi"))
+        for old in self.runs:
+            held = old.df.groupBy(F.col("anchor")).agg(F.min("doc_id").alias("f"), F.min("stretch").alias("l"), F.max("stretch").alias("h"))
+            met = both.join(held.hint("merge"), "anchor", "left")
+            both = met.select("anchor", F.least("first", "f").alias("first"), "last", F.least("lo", "l").alias("lo"), F.greatest("hi", "h").alias("hi"))
+        return both.where("first < last").select("anchor", (F.col("lo") != F.col("hi")).alias("differ"))
+
+    def _duplicates(self, new: Bucketed, occurs: DataFrame, stored: DataFrame) -> DataFrame:
+        spark = new.spark
+        # Written first, the small sides leave the other sides of their joins to be split where a key is hot.
+        shared = written(self.shared(new.df), "shared")
+        parts = [new.df.withColumn("new", F.lit(True)), *(r.df.withColumn("new", F.lit(False)) for r in self.runs)]
+        met = Written(self._all([p.join(shared, "anchor") for p in parts]), "met", narrow=True).df
+        holders = written(met.groupBy("anchor", "stretch").agg(F.min(F.struct(*FIRST)).alias("first"), F.max("differ").alias("differ")), "holders")
+        told = met.where("new").join(holders.select("anchor", "stretch", F.col("first.doc_id").alias("holder")), ["anchor", "stretch"]).where("last > holder")
+        told = Written(told.select("slot", "anchor", "stretch", "holder"), "told", narrow=True).df
+        whole = occurs.join(told.hint("shuffle_hash"), ["slot", "anchor", "stretch"]).where("doc_id > holder").select("slot", "doc_id", "form", "begin", "n")
         # Where one anchor stands in different stretches, the first holder of each shows its windows.
-        asked = flagged.where("differ and doc_id = holder").groupBy("doc_id", "form").agg(F.collect_list(F.struct("begin", "n")).alias("asked"))
-        texts = stored.select("doc_id", "form", "text").join(asked, ["doc_id", "form"])
-        short_batches(stored.sparkSession)
-        windows = Written(texts.select("doc_id", "form", "text", "asked").mapInArrow(_window_rows(self.window), "window binary, doc_id long, form long, begin int"), "windows", narrow=True)
+        asked = holders.where("differ").select("first.*", "anchor", "stretch").groupBy("slot", "doc_id", "form").agg(F.collect_list(F.struct("begin", "n", "anchor", "stretch")).alias("asked"))
+        texts = stored.select("slot", "doc_id", "form", "text").join(asked.hint("shuffle_hash"), ["slot", "doc_id", "form"])
+        short_batches(spark)
+        windows = Written(texts.select("slot", "doc_id", "form", "text", "asked").mapInArrow(_window_rows(self.window), "window binary, slot int, doc_id long, form long, anchor long, stretch long, k int"), "windows", narrow=True)
         owners = windows.df.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner")
-        single = windows.df.join(written(owners, "owners"), "window").where("doc_id > owner").select("doc_id", "form", "begin", F.lit(1).alias("n"))
-        return written(whole.unionByName(single), "duplicated")
+        seen = windows.df.join(written(owners, "owners"), "window").where("doc_id > owner").select("slot", "doc_id", "form", "anchor", "stretch", "k")
+        # The holder may have the stretch at several places.
+        single = occurs.join(written(seen, "seen").hint("shuffle_hash"), ["slot", "doc_id", "form", "anchor", "stretch"])
+        return written(whole.unionByName(single.select("slot", "doc_id", "form", (F.col("begin") + F.col("k")).alias("begin"), F.lit(1).alias("n"))), "duplicated")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -233,7 +306,7 @@ def _cut(window: int, texts: bool, carry: list[str]):
     return run
 
 
-def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, extra: list[str] | None = None) -> DataFrame:
+def remove_duplicates(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, extra: list[str] | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256; with texts also kept (the text, untouched where
     nothing goes) and all other columns, named as by ``plain`` (those of extra keep their names).
 
@@ -242,23 +315,32 @@ def remove_duplicates(docs: DataFrame, batches: int = 2, window: int = WINDOW, i
     """
     docs, _ = plain(docs, doc_id=id_col, text=text_col, **{c: c for c in extra or ()})
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).withColumn("form", F.xxhash64("text"))
-    rows = docs.select("doc_id", "text", "form").where("doc_id is not null")
-    short_batches(docs.sparkSession)
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
+    carry = [c for c in docs.columns if c not in ("doc_id", "text", "form")] if texts else []
+    spark = docs.sparkSession
+    short_batches(spark)
+    buckets = bucket_count(spark)
+    lying = laid_out(docs.select("doc_id", "text", "form", *carry), buckets, by_split=True)
+    docs = lying.df
+    index = FingerprintIndex(window, buckets=buckets)
+    occurs = index.anchors(docs)
+    cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
     edges = [None, *(int(c) for c in cuts), None]
-    index = FingerprintIndex(window)
-    found = None
+    found = []
     for low, high in zip(edges, edges[1:]):
-        batch, seen = rows, rows
+        batch = occurs.df
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
-            batch, seen = batch.where(F.col("doc_id") <= high), seen.where(F.col("doc_id") <= high)
-        spans = index.add(batch, seen)
-        found = spans if found is None else found.unionByName(spans)
-    spans = found.groupBy("doc_id", "form").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
-    carry = [c for c in docs.columns if c not in ("doc_id", "text", "form")] if texts else []
-    joined = docs.join(spans, ["doc_id", "form"], "left").select("doc_id", "text", "spans.begin", "spans.n", *carry)
-    schema = StructType(StructType.fromDDL(RESULT).fields + [StructField(c, docs.schema[c].dataType) for c in carry])
-    out = joined.mapInArrow(_cut(window, texts, carry), schema)
-    return out if texts else out.drop("kept")
+            batch = batch.where(F.col("doc_id") <= high)
+        found.append(index.add_anchors(batch, docs))
+    occurs.drop()
+    for run in index.runs:
+        run.drop()
+    with settings(spark, **AS_THEY_LIE):
+        spans = index._all(found).groupBy("slot", "doc_id", "form").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
+        joined = docs.join(spans.hint("shuffle_hash"), ["slot", "doc_id", "form"], "left").select("doc_id", "text", "spans.begin", "spans.n", *carry)
+        schema = StructType(StructType.fromDDL(RESULT).fields + [StructField(c, docs.schema[c].dataType) for c in carry])
+        out = joined.mapInArrow(_cut(window, texts, carry), schema)
+        out = Written(out if texts else out.drop("kept"), "cut")
+    lying.drop()
+    return out.df
