@@ -14,19 +14,30 @@ from tessel.llm import bpe, language, packing, shinglesets, substrings
 from tessel.llm.common import Written, plain, table
 
 
+#: Languages to keep (None: all that were learned), and the least score: below it the prediction is likelier wrong than right.
+LANGUAGES: tuple[str, ...] | None = None
+LEAST_SCORE = 0.5
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are in a learned language; null texts and texts without a letter go."""
+    """Keeps the documents that are surely in a language to keep.
+
+    Null texts, texts without a letter and texts with a score under LEAST_SCORE go: fragments,
+    gibberish, and texts that mix languages.
+    """
     rows, names = plain(docs, doc_id="doc_id", text="text")
     judged = language.identify(docs, language.learn(docs), keep=True)
-    return judged.where(F.col("lang_pred") != language.UNKNOWN).select(*rows.columns).toDF(*names)
+    wanted = F.col("lang_pred") != language.UNKNOWN if LANGUAGES is None else F.col("lang_pred").isin(*LANGUAGES)
+    return judged.where(wanted & (F.col("score") >= LEAST_SCORE)).select(*rows.columns).toDF(*names)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near-duplicates.
 
     Those are joined by pairs whose sets of five-word shingles have a Jaccard similarity of at
-    least 0.8. Fingerprints of 64 bits can't find all of them (such a pair may differ in any
-    number of bits, about ten on average at 0.8), so the sets themselves are joined.
+    least 0.8. The vantage-point trees over SimHash fingerprints give the closest of them; at 0.8
+    a pair differs in about ten bits of 64, which trees can't prune, so the others are met by
+    their rarest shingles and judged by 128 bits. All are settled on the sets themselves.
     Rows that share an id stay or go together; rows without an id stay.
     """
     rows, names = plain(docs, doc_id="doc_id", text="text")

@@ -1,13 +1,20 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles (the pipeline's stage).
+"""Near copies by SimHash fingerprints and the exact Jaccard similarity of sets of word shingles (the pipeline's stage).
+
+The vantage-point trees of operator 8 give the pairs whose fingerprints of five-word shingles
+differ in a few bits. A pair at a similarity of 0.8 differs in 15 % of the bits, which is beyond
+what trees can prune, so the other pairs are met by their rarest shingles, where fingerprints of
+128 bits refute those that can't be similar. All pairs are settled on the whole sets.
 
 Two sets of similarity t share a shingle among the first ``n - ceil(t n) + 1`` of each, whatever
 order all sets are sorted in. The order used puts shingles last that are common in a bounded
-sample; it sets only the number of candidates, never the result. Pairs that share too few of
-those first shingles to be similar drop out; the others are settled on the whole sets, whose
-shingles are 64-bit hashes.
-
-First each set meets only the smallest id that shares a shingle; then those of one shingle
-meet that aren't joined yet, so a group of near copies needs no square of pairs. Copies are one
+sample; it sets only the number of candidates, never the result. Candidates are settled on the
+whole sets, whose shingles are 64-bit hashes. A pair that is similar enough is refuted by its fingerprints with a
+chance below 1e-5 (see ``most_bits``).
+
+First each set meets only one that shares a shingle: among the middles of its shingles' groups (the
+sets whose fingerprints are nearest to their group's majority) the nearest. Then those of one
+shingle meet that aren't joined yet, within the task that holds them, and only what they join
+leaves it, so no pairs are written. Copies are one
 set from the start.
 
 Cases: null and empty texts, and texts of white space, are the empty set and copies of each
@@ -28,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tessel.llm.common import Written, columns, drawn_by_hash, short_batches
 from tessel.llm.components import components
+from tessel.llm.simhash import Union, majority, near_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -47,6 +55,25 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([h(b" ".join(w), 42) for w in whole], dtype=np.uint64))
 
 
+def marks(found: np.ndarray) -> tuple[int, int]:
+    """The set's fingerprint of 128 bits, as two signed longs; the first is what the trees compare."""
+    if not len(found):
+        return 0, 0
+    other = (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    pair = np.array([majority(found), majority(other ^ (other >> np.uint64(32)))], dtype=np.uint64)
+    return tuple(pair.view(np.int64).tolist())
+
+
+def most_bits(threshold: float) -> int:
+    """Bits of 128 in which two sets of this similarity hardly ever differ more.
+
+    Their vectors enclose an angle whose cosine is 2 t / (1 + t) at least. Small sets have no normal
+    sums, which is worth a quarter more of it; 4.5 standard deviations are added.
+    """
+    p = min(0.5, 1.25 * np.arccos(2 * threshold / (1 + threshold)) / np.pi)
+    return int(128 * p + 4.5 * np.sqrt(128 * p * (1 - p)))
+
+
 def head(found: np.ndarray, common: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
     """The shingles of which two sets of at least this similarity share one, in the common order."""
     n = len(found)
@@ -80,13 +107,14 @@ def _heads(rows: DataFrame, shingle: int, threshold: float, sample: int) -> Data
                 found = shingles(text, shingle)
                 key = xxhash.xxh128_digest(found.tobytes(), 42)
                 k1, k2 = np.frombuffer(key, np.int64).tolist()
-                out.append((k1, k2, len(found), head(found, common, counts, threshold).view(np.int64)))
-            k1, k2, n, heads = zip(*out) if out else ((), (), (), ())
+                out.append((k1, k2, len(found), *marks(found), head(found, common, counts, threshold).view(np.int64)))
+            k1, k2, n, f1, f2, heads = zip(*out) if out else ((), (), (), (), (), ())
+            longs = [pa.array(c, pa.int64()) for c in (k1, k2, f1, f2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), pa.array(list(heads), pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "n", "head"]
+                [batch.column(0), *longs, pa.array(n, pa.int32()), pa.array(list(heads), pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "f1", "f2", "n", "head"]
             )
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n int, head array<long>")
+    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, f1 long, f2 long, n int, head array<long>")
 
 
 def shared(sets: DataFrame) -> DataFrame:
@@ -110,65 +138,142 @@ def shared(sets: DataFrame) -> DataFrame:
     return rows.repartition(total // GROUP + 1, "token").mapInArrow(run, "token long, rep long, n int")
 
 
-def total_of(pairs: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct rows and the sums of their counts."""
-    found, at = np.unique(pairs, axis=0, return_inverse=True)
-    return found, np.bincount(at.ravel(), weights=count, minlength=len(found)).astype(np.int64)
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """a, b: ids of sets whose first 64 bits are the same, or linked by the trees; sets: rep, f1."""
+    classes = Written(sets.groupBy(F.col("f1").alias("fp")).agg(F.min("rep").alias("rep")), "set-classes", narrow=True).df
+    same = sets.join(classes.withColumnRenamed("rep", "a"), F.col("f1") == F.col("fp")).where("a <> rep").select("a", F.col("rep").alias("b"))
+    return near_links(classes).unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def candidates(rows: DataFrame, threshold: float, star: bool) -> DataFrame:
-    """a, b: ids of sets that may be similar and aren't of one component; rows: token, rep, n, comp.
+def middles(f1: np.ndarray, f2: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each group of consecutive rows the first one whose fingerprint is nearest to the majority's."""
+    far = np.zeros(len(f1), np.int64)
+    for f in (f1, f2):
+        for bit in range(64):
+            ones = (f >> np.uint64(bit)) & np.uint64(1)
+            major = 2 * np.add.reduceat(ones, first) > size.astype(np.uint64)
+            far += ones.astype(bool) != np.repeat(major, size)
+    return np.lexsort((far, np.repeat(np.arange(len(first)), size)))[first]
 
-    A head lacks ``ceil(t n) - 1`` shingles, so no pair has more in common than its heads have and
-    the larger of these; pairs for which that isn't enough are left out.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        band = np.floor(np.log(pdf["n"].to_numpy()) / -np.log(threshold)).astype(np.int64) if star else np.zeros(len(pdf), np.int64)
-        order = np.lexsort((pdf["rep"].to_numpy(), band, pdf["token"].to_numpy()))
-        token, rep, comp, n = (pdf[c].to_numpy().astype(np.int64)[order] for c in ("token", "rep", "comp", "n"))
-        band = band[order]
-        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])])
-        size = np.diff(np.r_[first, len(token)])
-        pairs, count = np.empty((0, 4), np.int64), np.empty(0, np.int64)
-        if star:
-            lead = np.repeat(first, size)
-            keep = rep != rep[lead]
-            lead = lead[keep]
-            pairs = np.stack([rep[lead], rep[keep], n[lead], n[keep]], axis=1)
-            count = np.ones(len(pairs), np.int64)
-        else:
-            more, held = [], 0
-            mixed = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
-            for start, many in zip(first[mixed].tolist(), size[mixed].tolist()):
-                for x in range(start, start + many - 1):
-                    y = np.arange(x + 1, start + many)
-                    y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]) - 1e-9)]
-                    if len(y):
-                        more.append(np.stack([np.full(len(y), rep[x]), rep[y], np.full(len(y), n[x]), n[y]], axis=1))
-                        held += len(y)
-                    if held > 500_000:
-                        pairs, count = total_of(np.concatenate([pairs, *more]), np.r_[count, np.ones(held, np.int64)])
-                        more, held = [], 0
-            pairs, count = np.concatenate([pairs, *more]), np.r_[count, np.ones(held, np.int64)]
-        pairs, count = total_of(pairs, count)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": pairs[:, 2], "m": pairs[:, 3], "both": count}, dtype=np.int64)
+class Group:
+    """Rows of some shingles, those of one shingle next to each other: what two sets that meet there can have."""
 
+    def __init__(self, pdf: pd.DataFrame, threshold: float, band: bool = False):
+        n = pdf["n"].to_numpy()
+        # Only sets of sizes that differ by less than this can be similar.
+        self.band = np.floor(np.log(n) / -np.log(threshold)).astype(np.int64) if band else np.zeros(len(pdf), np.int64)
+        order = np.lexsort((pdf["rep"].to_numpy(), self.band, pdf["token"].to_numpy()))
+        token, self.rep, self.comp, self.n = (pdf[c].to_numpy().astype(np.int64)[order] for c in ("token", "rep", "comp", "n"))
+        self.f1, self.f2 = (pdf[c].to_numpy().astype(np.int64)[order].view(np.uint64) for c in ("f1", "f2"))
+        self.token, self.band, self.threshold, self.most = token, self.band[order], threshold, most_bits(threshold)
+        self.first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (self.band[1:] != self.band[:-1])])
+        self.size = np.diff(np.r_[self.first, len(token)])
+
+    def far(self, x, y) -> np.ndarray:
+        return np.bitwise_count(self.f1[x] ^ self.f1[y]).astype(np.int16) + np.bitwise_count(self.f2[x] ^ self.f2[y])
+
+    def may_link(self, x, y) -> np.ndarray:
+        sized = np.minimum(self.n[y], self.n[x]) >= self.threshold * np.maximum(self.n[y], self.n[x]) - 1e-9
+        return (self.comp[y] != self.comp[x]) & sized & (self.far(x, y) <= self.most)
+
+
+def grouped(rows: DataFrame):
     short_batches(rows.sparkSession, 20_000)
-    grouped = rows.withColumn("group", F.pmod(F.xxhash64("token"), F.lit(rows.count() // GROUP + 1))).groupBy("group")
-    found = grouped.applyInPandas(run, "a long, b long, n long, m long, both long").groupBy("a", "b", "n", "m").agg(F.sum("both").alias("both"))
-    rest = F.ceil(F.greatest("n", "m") * threshold - 1e-9) - 1
-    return found.where(F.col("both") + rest >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9).select("a", "b").distinct()
+    return rows.withColumn("group", F.pmod(F.xxhash64("token"), F.lit(rows.count() // GROUP + 1))).groupBy("group")
 
 
-def settled(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+def star_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b: each set and the nearest middle of its shingles' groups; rows: token, rep, n, comp, f1, f2."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = Group(pdf, threshold, band=True)
+        lead = np.repeat(middles(g.f1, g.f2, g.first, g.size), g.size)
+        far = g.far(np.arange(len(lead)), lead)
+        keep = np.flatnonzero((g.rep != g.rep[lead]) & (far <= g.most))
+        keep = keep[np.lexsort((g.rep[lead[keep]], far[keep], g.rep[keep]))]
+        keep = keep[np.r_[True, g.rep[keep][1:] != g.rep[keep][:-1]]] if len(keep) else keep
+        return pd.DataFrame({"a": g.rep[lead[keep]], "b": g.rep[keep]}, dtype=np.int64)
+
+    found = grouped(rows).applyInPandas(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def unsettled(rows: DataFrame, threshold: float) -> DataFrame:
+    """group and the columns of rows: sets that meet one of another component there which may be similar."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = Group(pdf, threshold)
+        hit = np.zeros(len(g.rep), bool)
+        mixed = np.minimum.reduceat(g.comp, g.first) != np.maximum.reduceat(g.comp, g.first)
+        for start, many in zip(g.first[mixed].tolist(), g.size[mixed].tolist()):
+            for x in range(start, start + many - 1):
+                y = np.arange(x + 1, start + many)
+                y = y[g.may_link(x, y)]
+                if len(y):
+                    hit[x] = True
+                    hit[y] = True
+        found = {c: getattr(g, c)[hit] for c in ("token", "rep", "n", "comp")} | {c: getattr(g, c)[hit].view(np.int64) for c in ("f1", "f2")}
+        return pd.DataFrame({"group": np.full(int(hit.sum()), pdf["group"].iloc[0])} | found, dtype=np.int64)
+
+    return grouped(rows).applyInPandas(run, "group long, token long, rep long, n long, comp long, f1 long, f2 long")
+
+
+def joined_sets(rows: DataFrame, left: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """a, b: components that similar sets join; left: what ``unsettled`` gives. Sets meet in their group, and no pair leaves it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens = pdf["held"].to_list()
+        docs = pdf.drop(columns=["held", "tokens"]).assign(doc=np.arange(len(pdf)), token=0)
+        spread = docs.loc[np.repeat(docs.index, [len(t) for t in tokens])].assign(token=np.concatenate(tokens))
+        g = Group(spread, threshold)
+        doc = spread["doc"].to_numpy()[np.lexsort((spread["rep"].to_numpy(), np.zeros(len(spread)), spread["token"].to_numpy()))]
+        sets = [np.asarray(t, np.int64) for t in pdf["tokens"]]
+        names, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        union = Union(len(names))
+        segment = np.repeat(np.arange(len(g.first)), g.size)
+        places: dict[int, list[int]] = {}
+        for at, d in enumerate(doc.tolist()):
+            places.setdefault(d, []).append(at)
+        for d, spots in places.items():
+            near = np.unique(doc[np.concatenate([np.arange(at + 1, g.first[segment[at]] + g.size[segment[at]]) for at in spots])])
+            if not len(near):
+                continue
+            one = np.array([places[k][0] for k in near.tolist()])
+            roots = union.roots()
+            near = near[g.may_link(spots[0], one) & (roots[comp[near]] != roots[comp[d]])]
+            for k in near.tolist():
+                both = len(np.intersect1d(sets[d], sets[k], assume_unique=True))
+                if both >= threshold * (len(sets[d]) + len(sets[k]) - both) - 1e-9:
+                    union.join(comp[[d]], comp[[k]])
+        roots = union.roots()
+        moved = np.flatnonzero(roots != np.arange(len(names)))
+        return pd.DataFrame({"a": names[roots[moved]], "b": names[moved]}, dtype=np.int64)
+
+    sets = Written(_sets_of(rows, left.select(F.col("rep").alias("id")).distinct(), shingle), "unsettled-sets")
+    once = left.groupBy("group", "rep", "n", "comp", "f1", "f2").agg(F.collect_list("token").alias("held"))
+    whole = once.join(sets.df.withColumnRenamed("id", "rep"), "rep")
+    found = Written(whole.groupBy("group").applyInPandas(run, "a long, b long"), "joined-sets", narrow=True).df
+    sets.drop()
+    return found
+
+
+def _sets_of(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id, tokens: the whole sets of these documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "tokens"])
 
+    short_batches(rows.sparkSession)
+    ids = Written(ids, "candidates", narrow=True).df
+    return rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, tokens array<long>")
+
+
+def settled(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs whose whole sets are similar."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -178,9 +283,8 @@ def settled(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    short_batches(rows.sparkSession)
-    ids = Written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "candidates", narrow=True).df
-    sets = Written(rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").mapInArrow(sets_of, "id long, tokens array<long>"), "candidate-sets")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = Written(_sets_of(rows, ids, shingle), "candidate-sets")
     one, two = sets.df.toDF("a", "x"), sets.df.toDF("b", "y")
     links = Written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar", narrow=True).df
     sets.drop()
@@ -193,20 +297,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     heads = Written(_heads(rows, shingle, threshold, sample), "shingle-heads").df
     reps = Written(heads.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "shingle-classes", narrow=True).df
-    sets = Written(heads.join(reps, ["k1", "k2"]).where("doc_id = rep and n > 0").select("rep", "n", "head"), "shingle-sets")
-    meet = Written(shared(sets.df), "shared-shingles").df
+    sets = Written(heads.join(reps, ["k1", "k2"]).where("doc_id = rep and n > 0").select("rep", "n", "f1", "f2", "head"), "shingle-sets")
+    prints = Written(sets.df.select("rep", "f1", "f2"), "set-fingerprints", narrow=True).df
+    met = shared(sets.df).join(prints, "rep")
+    meet = Written(met.select("token", "rep", "n", "f1", "f2"), "shared-shingles").df
     sets.drop()
-    links = None
-    for star in (True, False):
-        if links is None:
-            apart = meet.withColumn("comp", F.col("rep"))
-        else:
-            joined = components(links)
-            apart = meet.join(joined, meet["rep"] == joined["node"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        pairs = Written(candidates(apart, threshold, star), "candidate-pairs", narrow=True)
-        found = settled(rows, pairs.df, shingle, threshold)
-        pairs.drop()
-        links = found if links is None else links.unionByName(found)
+    pairs = Written(star_pairs(meet.withColumn("comp", F.col("rep")), threshold).unionByName(fingerprint_pairs(prints)).distinct(), "candidate-pairs", narrow=True)
+    links = settled(rows, pairs.df, shingle, threshold)
+    pairs.drop()
+    joined = components(links)
+    apart = meet.join(joined, meet["rep"] == joined["node"], "left").select("token", "rep", "n", "f1", "f2", F.coalesce("component", "rep").alias("comp"))
+    left = Written(unsettled(apart, threshold), "unsettled", narrow=True)
+    links = links.unionByName(joined_sets(rows, left.df, shingle, threshold))
     whole = components(links)
     ends = Written(reps.join(whole, reps["rep"] == whole["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "shingle-components", narrow=True).df
     return heads.select("doc_id", "k1", "k2").join(ends, ["k1", "k2"]).select("doc_id", "component_id")
