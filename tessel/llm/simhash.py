@@ -4,10 +4,13 @@ Fingerprints that link differ in at most ``reach`` bits, so they differ in at mo
 ``reach // 2`` bits of one half. For each half there is one vantage-point tree over the
 Hamming distance of that half: a node has a vantage point and a radius; a fingerprint lives
 on one side of it, and as a query it goes to both sides unless the triangle inequality rules
-one out. Where many fingerprints share a half, a node measures all 64 bits with the whole
-reach instead. The trees come from a bounded sample of the distinct fingerprints; they set
-only the shards' sizes, never the result. Every leaf is a shard; a shard compares those who
-live there with all who were sent, and returns the links that join its members, at most one
+one out. A query that may differ in one bit only keeps count of the bits that can still be the
+one: near a border those that lead across go to the other side and the rest stay, so a query
+visits no leaf but those of its 32 neighbours. Where many fingerprints share a half, a node measures all 64 bits with the whole
+reach instead. The trees come from a sample of the distinct fingerprints, which grows with them
+up to ``MOST_SAMPLE``; they set only the shards' sizes, never the result. Every leaf is a shard; a
+shard goes on with a tree of its own members, compares in its leaves those who live there with
+all who come by, and returns the links that join its members, at most one
 fewer than it has rows. Copies are one fingerprint from the start.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero, which links
@@ -32,8 +35,11 @@ from tessel.llm.components import components
 SHINGLE = 3
 REACH = 3
 #: Distinct fingerprints aimed at in a shard, and those that the trees are drawn from.
-SHARD = 1024
+SHARD = 8192
 SAMPLE = 32_768
+MOST_SAMPLE = 1 << 20
+#: Fingerprints aimed at in a leaf within a shard.
+LEAF = 256
 
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -80,7 +86,7 @@ class VantageTree:
 
     def __init__(self, sample: np.ndarray, half: int, reach: int, leaf: int):
         self.point, self.radius, self.mask, self.span, self.near, self.far = [], [], [], [], [], []
-        self.leaves = 0
+        self.leaves, self.single = 0, reach // 2 == 1
         self.root = self._grow(sample, HALVES[half], reach // 2, reach, max(2, leaf))
         self.half = half
 
@@ -112,20 +118,31 @@ class VantageTree:
 
     def walk(self, values: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each leaf that any value visits: leaf, indices of the visitors, which of them live there."""
-        stack = [(self.root, np.arange(len(values)), np.ones(len(values), bool))]
+        # same: values with this very half may be here; flips: the bits of the half of which one may differ.
+        whole = np.ones(len(values), bool)
+        stack = [(self.root, np.arange(len(values)), whole, whole, np.full(len(values), HALVES[self.half]))]
         while stack:
-            node, at, home = stack.pop()
+            node, at, home, same, flips = stack.pop()
             if not len(at):
                 continue
             if node < 0:
                 yield -1 - node, at, home
                 continue
-            d = np.bitwise_count((values[at] ^ self.point[node]) & self.mask[node]).astype(np.int64)
+            bits = (values[at] ^ self.point[node]) & self.mask[node]
+            d = np.bitwise_count(bits).astype(np.int64)
             radius, span = self.radius[node], self.span[node]
             inside = d <= radius
             near, far = d <= radius + span, d > radius - span
-            stack.append((self.near[node], at[near], (home & inside)[near]))
-            stack.append((self.far[node], at[far], (home & ~inside)[far]))
+            near_same = far_same = same
+            near_flips = far_flips = flips
+            if self.single and self.mask[node] != ALL:
+                border = (d == radius) | (d == radius + 1)
+                near_flips, far_flips = np.where(border, flips & bits, flips), np.where(border, flips & ~bits, flips)
+                near_same, far_same = same & inside, same & ~inside
+                near &= (near_flips != 0) | near_same
+                far &= (far_flips != 0) | far_same
+            stack.append((self.near[node], at[near], (home & inside)[near], near_same[near], near_flips[near]))
+            stack.append((self.far[node], at[far], (home & ~inside)[far], far_same[far], far_flips[far]))
 
 
 class Union:
@@ -157,13 +174,16 @@ class Union:
 def shard_links(values: np.ndarray, home: np.ndarray, half: int, reach: int, shard: int, rows: int = 256) -> Iterator[tuple[int, int]]:
     """Pairs of row numbers that join the shard's linked rows.
 
-    Each row is compared with all that live there; a shard that came out larger than meant,
-    because the sample knew too little of it, is cut further by a tree of its own.
+    A tree of those that live there cuts the shard further, however many they are; each row is
+    compared with all that live in the leaves it comes by.
     """
     union = Union(len(values))
     parts = [(np.arange(len(values)), home)]
-    if home.sum() > 2 * shard:
-        tree = VantageTree(values[home], half, reach, shard)
+    leaf = min(LEAF, shard)
+    if home.sum() > 2 * leaf:
+        points = values[home].copy()
+        np.random.default_rng(11).shuffle(points)
+        tree = VantageTree(points, half, reach, leaf)
         parts = ((at, home[at] & lives) for _, at, lives in tree.walk(values))
     for at, lives in parts:
         live = at[lives]
@@ -179,6 +199,7 @@ def shard_links(values: np.ndarray, home: np.ndarray, half: int, reach: int, sha
 def near_links(classes: DataFrame, reach: int = REACH, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """a, b: representatives (column rep) of the distinct fingerprints (column fp), enough to join all that link."""
     n = classes.count()
+    sample = max(sample, min(MOST_SAMPLE, 8 * n // shard))
     drawn = classes.where(drawn_by_hash(F.col("fp"), sample, n)).select("fp").collect()
     points = np.sort(np.array([r["fp"] for r in drawn], dtype=np.int64).view(np.uint64))
     np.random.default_rng(7).shuffle(points)
@@ -202,7 +223,7 @@ def near_links(classes: DataFrame, reach: int = REACH, shard: int = SHARD, sampl
         found = list(shard_links(values, pdf["home"].to_numpy(), half, reach, shard))
         return pd.DataFrame({"a": rep[[x for x, _ in found]], "b": rep[[y for _, y in found]]}, dtype=np.int64)
 
-    short_batches(classes.sparkSession, 20_000)
+    short_batches(classes.sparkSession, 100_000)
     sent = classes.select("fp", "rep").mapInArrow(route, "shard int, fp long, rep long, home boolean")
     return sent.groupBy("shard").applyInPandas(compare, "a long, b long")
 
