@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import re
 import unicodedata
 from collections.abc import Iterable
@@ -85,11 +86,16 @@ class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids. Null and empty texts have none.
 
     plain: the tokenizer's own pattern as Python's re has it for Latin-1 texts, whose matches
-    go straight to the model; other texts are cut into coarser pieces.
+    go straight to the model; other texts are cut into coarser pieces. marked: the tokenizer that
+    encodes whole texts in which one of its special tokens is spelled out.
     """
 
-    def __init__(self, tokenizer, pattern: str, normalize: bool):
-        self.tok = tokenizer
+    def __init__(self, tokenizer, pattern: str, normalize: bool, marked=None):
+        self.tok, self.marked = tokenizer, marked
+        names = [t.content for t in marked.get_added_tokens_decoder().values()] if marked else []
+        self.marks = re.compile("|".join(map(re.escape, names)), re.I) if names else None
+        start = os.path.commonprefix(names)
+        self.start = start[: next((k for k, c in enumerate(start) if c.isalpha()), len(start))]
         self.pattern = regex.compile(pattern)
         self.plain = {WORD_PATTERN: PLAIN_WORDS, BYTE_PATTERN: PLAIN_BYTES}.get(pattern, self.pattern)
         self.normalize = normalize
@@ -107,6 +113,8 @@ class PieceEncoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.marks and self.start in text and self.marks.search(text):
+            return np.array(self.marked.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
@@ -117,7 +125,7 @@ class PieceEncoder:
 
 @functools.lru_cache(maxsize=4)
 def library_encoder(path: str) -> PieceEncoder:
-    """The encoder of a tokenizers file; special tokens' strings in a text are ordinary text."""
+    """The encoder of a tokenizers file; as the library does it, a special token's string in a text is that token."""
     import json
 
     from tokenizers import Tokenizer
@@ -130,7 +138,7 @@ def library_encoder(path: str) -> PieceEncoder:
     split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
     if split is None:
         split = BYTE_PATTERN
-    return PieceEncoder(tok, split, normalize=spec["normalizer"] is not None)
+    return PieceEncoder(tok, split, normalize=spec["normalizer"] is not None, marked=Tokenizer.from_file(path))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
