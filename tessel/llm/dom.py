@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|!(?P<declaration>[^>]*)>|\?(?P<instruction>[^>]*)>|/(?P<close>[a-zA-Z][^\s>/]*)[^>]*>|(?P<open>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
@@ -40,6 +41,7 @@ class Page:
         self.nodes = [Node("#root", "", -1, 0, 0)]
         self.blocks: list[tuple[int, str]] = []
         self._open = [0]
+        self._names: Counter = Counter()  # of the open elements
         self._text: list[str] = []
         self._owner = 0
         self._links = 0
@@ -47,7 +49,12 @@ class Page:
 
     def _parse(self, s: str) -> None:
         at, n, lower = 0, len(s), None
+        last = s.rfind(">")
         while at < n:
+            if at > last:  # no tag ends any more; an open comment runs to the end
+                comment = s.find("<!--", at)
+                self._say(s[at:] if comment < 0 else s[at:comment])
+                break
             m = TAG.search(s, at)
             if m is None:
                 self._say(s[at:])
@@ -116,23 +123,33 @@ class Page:
         self.nodes.append(node)
         if tag not in VOID:
             self._open.append(len(self.nodes) - 1)
+            self._names[tag] += 1
+
+    def _close(self, depth: int) -> None:
+        for k in self._open[depth:]:
+            self._names[self.nodes[k].tag] -= 1
+        del self._open[depth:]
 
     def _end(self, tag: str) -> None:
         if tag not in INLINE:
             self._flush()
+        if not self._names[tag]:
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             name = self.nodes[self._open[depth]].tag
             if name == tag:
-                del self._open[depth:]
+                self._close(depth)
                 return
             if tag in INLINE and name in SCOPES:
                 return
 
     def _pop_to(self, tags: set[str], scopes) -> None:
+        if not any(self._names[t] for t in tags):
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             name = self.nodes[self._open[depth]].tag
             if name in tags:
-                del self._open[depth:]
+                self._close(depth)
                 return
             if name in scopes:
                 return

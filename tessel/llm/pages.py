@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from importlib import resources
 
@@ -90,6 +91,7 @@ def node_features(page: Page) -> tuple[list[int], np.ndarray]:
     total = max(1, chars[0])
     bad, good = [False] * n, [False] * n
     judged, rows = [], []
+    alike: dict[int, Counter] = {}  # of each parent, its children by tag
     for k, node in enumerate(nodes):
         flags, hidden = attribute_flags(node.attrs)
         if k:
@@ -101,7 +103,9 @@ def node_features(page: Page) -> tuple[list[int], np.ndarray]:
         if node.tag in INLINE or node.tag in VOID or node.tag in ALWAYS or not chars[k]:
             continue
         siblings = nodes[node.parent].children
-        same = sum(nodes[c].tag == node.tag for c in siblings)
+        if node.parent not in alike:
+            alike[node.parent] = Counter(nodes[c].tag for c in siblings)
+        same = alike[node.parent][node.tag]
         c = chars[k]
         group = [0.0] * len(TAG_GROUPS)
         if (g := _GROUP_OF.get(node.tag)) is not None:

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from tessel.llm import multiindex, rabitq, simhash, substrings
+from tessel.llm.common import settings
 from tessel.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -140,6 +141,17 @@ def test_substrings_equal_brute_force(spark, batches):
     assert [r["n_removed"] for r in found if r["doc_id"] is None] == [0]
 
 
+def test_a_passage_that_a_text_repeats_goes_at_every_place(spark):
+    r = random.Random(6)
+    more = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    rows = []
+    for d in range(0, 60, 3):
+        shared, around = more(r.randint(50, 62)), (more(60), more(60))
+        rows += [(d, " ".join(more(40) + shared + more(40))), (d + 1, " ".join((around[0] + shared + around[1]) * 3)), (d + 2, " ".join(around[0][30:] + shared))]
+    found = substrings.remove_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(x) for x in found) == slow_substrings(rows)
+
+
 def test_kept_texts_stay_as_they_are(spark):
     rows = passages(2, 20)
     df = spark.createDataFrame([(d, t, f"s{d}") for d, t in rows], "doc_id long, text string, source string")
@@ -159,7 +171,21 @@ def test_runs_are_compacted(spark):
         seen = batch if seen is None else seen.unionByName(batch)
         spans = index.add(batch, seen).collect()
         assert bool(spans) == (k > 0)
-    assert len(index.runs) <= 2
+    assert len(index.runs) <= 2 and index.compactions == 2
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """Neither a shuffle nor a sort of the runs, old or new, and none of what the query's batches add to is left out."""
+    index = substrings.FingerprintIndex()
+    texts = [" ".join(map(str, range(k, k + 90))) for k in (0, 30, 60)]
+    frames = [spark.createDataFrame([(k, t, 1)], "doc_id long, text string, form long") for k, t in enumerate(texts)]
+    index.add(frames[0])
+    index.add(frames[1], frames[0].unionByName(frames[1]))
+    new = index.runs[-1].df
+    index.runs = index.runs[:-1]
+    with settings(spark, **substrings.AS_THEY_LIE):
+        plan = index.shared(new)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and not re.search(r"(?<!\w)Sort \[", plan)
 
 
 def test_an_index_is_opened_again(spark, tmp_path):
@@ -212,12 +238,10 @@ def cosines(rows):
     return rows, lambda a, b: float(unit[a] @ unit[b]) if len(unit[a]) == len(unit[b]) else None
 
 
-@pytest.mark.parametrize("whole", [32_768, 10])
-def test_near_vectors_equal_brute_force(spark, monkeypatch, whole):
+@pytest.mark.parametrize("dim", [24, 64, 100])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, dim):
     monkeypatch.setattr(rabitq, "BLOCK", 40)
-    if whole == 10:
-        monkeypatch.setattr(rabitq, "plan_tables", lambda largest, threshold: (4, 40))
-    rows = vectors()
+    rows = vectors(dim=dim)
     found = {r["vec_id"]: r for r in rabitq.near_vectors(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()}
     assert len(found) == len(rows)
     usable, cos = cosines(rows)
@@ -255,20 +279,40 @@ def test_bounds_never_lose_a_link():
     assert abs((estimate - (x * y).sum(axis=1)).mean()) < 0.02
 
 
-def test_more_tables_keep_the_chance_to_miss_small():
-    for n in (10**5, 10**7, 10**9):
-        bits, tables = rabitq.plan_tables(n)
-        meet = (1 - np.arccos(0.98) / np.pi) ** bits
-        assert (1 - meet) ** tables <= rabitq.MISS
+@pytest.mark.parametrize("dim", [40, 64, 200])
+def test_codes_keep_pairs_at_the_threshold_and_refute_others(dim):
+    """Planted pairs at 0.98 to 0.981 among 8,000 vectors around one direction; and vectors of any direction, of which none are near."""
+    rng = np.random.default_rng(9)
+    x = np.full(dim, 3 / np.sqrt(dim)) + rng.standard_normal((4000, dim)) / np.sqrt(dim)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.98, 0.981, (4000, 1))
+    y = cos * x + np.sqrt(1 - cos * cos) * side
+
+    def codes(v):
+        turned, code, factor = rabitq.encode(v)
+        small, scale = rabitq.Codes.shrink(turned)
+        return rabitq.Codes(dim, code.tobytes(), factor.tobytes(), small.tobytes(), scale.tobytes())
+
+    hit_x, hit_y = rabitq.undecided(codes(x), codes(y), False, dim, 0.98)
+    assert hit_x.all() and hit_y.all()
+    z = rng.standard_normal((4000, dim))
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    alone, _ = rabitq.undecided(codes(z[:2000]), codes(z[2000:]), False, dim, 0.98)
+    assert alone.mean() < (0.5 if dim < 64 else 0.01)
 
 
-def test_labels_of_any_size_are_compared_whole():
-    assert [rabitq.plan_tables(n) for n in (10, 32_769, 10**7)] == [(0, 1)] * 3
+def test_flips_of_a_pair_at_the_threshold_are_rarely_more():
+    p = np.arccos(0.98) / np.pi
+    flips = np.random.default_rng(0).binomial(64, p, 1_000_000)
+    assert (flips > rabitq.most_flips(64)).sum() == 0 and rabitq.most_flips(64) < 24
+    assert rabitq.most_flips(8) == 8
 
 
 def test_nearest_equals_brute_force_when_all_is_visited(spark, monkeypatch):
     monkeypatch.setattr(multiindex, "SHARD", 30)
-    monkeypatch.setattr(multiindex, "BLOCK", 2)
     rows = vectors()
     df = spark.createDataFrame(rows, VECTORS).repartition(3)
     usable, cos = cosines(rows)
@@ -294,3 +338,33 @@ def test_walk_is_in_order_and_whole():
     sums = [a[c // 6] + b[c % 6] for c in cells]
     assert sorted(cells) == list(range(36))
     assert sums == sorted(sums)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7, 8])
+def test_few_vectors_have_all_their_neighbours(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(50 * k, rng.standard_normal(8).tolist()) for k in range(n)]
+    found = multiindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(found) == n * min(5, n - 1)
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+@pytest.mark.parametrize("kind", ["uniform", "clustered"])
+def test_fitted_walks_find_nine_of_ten(spark, n, kind):
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 32))
+    if kind == "clustered":
+        x = x * 0.2 + rng.standard_normal((20, 32))[rng.integers(0, 20, n)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = {}
+    for q in range(0, n, 50):
+        c = x @ x[q]
+        c[q] = -2
+        near[q] = set(np.argsort(-c)[:5].tolist())
+    rows = [(k, v) for k, v in enumerate(x.tolist())]
+    found = multiindex.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    hits = sum(r["vec_id"] in near[r["query_id"]] for r in found)
+    assert hits >= 0.9 * 5 * len(near)
+    points = x[:2000]
+    share = multiindex.fit_visit(multiindex.MultiIndex(points, multiindex.codes_for(n)), points, 5)
+    assert share < (0.3 if kind == "clustered" else 1.01)

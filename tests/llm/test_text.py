@@ -180,3 +180,18 @@ def test_conversations_as_a_table(spark):
     assert all(legal([p.split("\n")[0] for p in t.split(chat.OPEN)[1:]]) for t in found.values())
     assert whole(64) == found
     assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p>some words here, and more.</p>" * 30_000, "<p>text</p>" + '<a href="' * 100_000, "<div>" * 500 + "x" + "</span></p></section>" * 30_000, "<b>" * 300 + "<p>word</p></i>" * 20_000],
+    ids=["flat", "unterminated", "unmatched", "nested"],
+)
+def test_long_pages_take_seconds(page):
+    import time
+
+    from tessel.llm import pages
+
+    begin = time.process_time()
+    pages.texts([page])
+    assert time.process_time() - begin < 20

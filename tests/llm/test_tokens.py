@@ -21,7 +21,6 @@ SCHEMA = "doc_id long, text string, `TEXT` string, part int, other_1 string"
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -29,6 +28,14 @@ def ids(encoder, text):
     return np.frombuffer(encoder.ids(text), "<u4").tolist()
 
 
+def test_special_tokens_in_a_text_are_those_tokens():
+    assert ids(library_encoder(WORDS), "x <|endoftext|> y") == [343, 49407, 344]
+    assert ids(library_encoder(BYTES), "x <|endoftext|> y") == [87, 220, 50256, 331]
+    for path in (WORDS, BYTES):
+        for text in ("<|endoftext|>", "A<|ENDOFTEXT|>b", "é日 <|startoftext|><|endoftext|>\n", "<|endoftext", "<| endoftext|>"):
+            assert ids(library_encoder(path), text) == library(path)(text)
+
+
 any_text = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("ab  '\n\té½s")), max_size=60)
 
 
