@@ -27,7 +27,7 @@ KERNEL = _named(
 TABLES = _named(
     "UnknownField IndexOutOfBounds SliceOutOfBounds InvalidColumnCount InvalidColumnLength InvalidColumnType NullInNonNullableField ColumnAlreadySet MissingColumn InvalidColumnIndex AlreadyFinished NotFinished InvalidChunkType LengthOverflow SchemaMismatch"
 )
-LAYOUT = _named("InvalidBufferCount BufferTooSmall InvalidOffsetBuffer InvalidOffsets InvalidNullCount MissingDictionary InvalidChildren InvalidRunEnds InvalidTypeId IndexOutOfRange InvalidEntriesType InvalidEntriesSchema InvalidChildLength")
+LAYOUT = _named("InvalidBufferCount BufferTooSmall InvalidOffsetBuffer InvalidOffsets InvalidNullCount OffsetOverflow MissingDictionary InvalidChildren InvalidRunEnds InvalidTypeId IndexOutOfRange InvalidEntriesType InvalidEntriesSchema InvalidChildLength")
 INTERCHANGE = _named("InvalidMessage InvalidMetadata InvalidBody InvalidFile SchemaNotRead Released TopLevelSchemaMustBeStruct")
 
 _ALL = KERNEL | TABLES | LAYOUT | INTERCHANGE

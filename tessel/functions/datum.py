@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -114,6 +116,14 @@ def run_lengths(*chunks: list[int]) -> list[int]:
     return [b - a for a, b in zip(points, points[1:]) if b > a]
 
 
+def aligned_chunks(*columns: pa.ChunkedArray) -> Iterator[tuple[int, list[pa.Array]]]:
+    """Row number of the first row and a slice of every column, for each run within which no column has a chunk border."""
+    at = 0
+    for n in run_lengths(*([len(c) for c in column.chunks] for column in columns)):
+        yield at, [next(c for c in column.slice(at, n).chunks if len(c)) for column in columns]
+        at += n
+
+
 def scalar_of(df: DataFrame) -> Any:
     """The value of a table of one row and one column."""
     rows = df.limit(2).collect()

@@ -159,13 +159,17 @@ def dictionary_decode(df: DataFrame, words: DataFrame, index: str, name: str) ->
 def emission(previous: DataFrame | None, current: DataFrame) -> tuple[str, DataFrame]:
     """What a stream sends for a dictionary after another: ("skip" | "delta" | "full", the rows to send).
 
-    The same values: nothing. The same values and more behind them: those. Anything else: all.
+    The same values: nothing. The same values and more behind them: those. Anything else: all. 0.0 and -0.0 differ,
+    as their bytes do; all NaN are one value.
     """
     if previous is None:
         return "full", current
     p = previous.select(F.col("index").alias("pi"), F.col("value").alias("pv"))
     both = current.join(p, F.col("index") == F.col("pi"), "full")
-    differs = F.coalesce((F.col("index").isNotNull() & F.col("pi").isNotNull() & ~F.col("value").eqNullSafe(F.col("pv"))) | F.col("index").isNull(), F.lit(False))
+    same = F.col("value").eqNullSafe(F.col("pv"))
+    if current.schema["value"].dataType.typeName() in ("float", "double"):
+        same &= F.col("value").cast("string").eqNullSafe(F.col("pv").cast("string"))
+    differs = F.coalesce((F.col("index").isNotNull() & F.col("pi").isNotNull() & ~same) | F.col("index").isNull(), F.lit(False))
     found = both.agg(F.coalesce(F.max(differs), F.lit(False)).alias("differs"), F.count("index").alias("now"), F.count("pi").alias("before")).first()
     if found["differs"] or found["now"] < found["before"]:
         return "full", current

@@ -37,7 +37,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tessel.plans import catalog_more  # noqa: F401  registers its own
+    from tessel.plans import catalog_more, catalog_values  # noqa: F401  register their own
 
     return dict(_QUERIES)
 

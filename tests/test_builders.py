@@ -5,6 +5,8 @@ import pyarrow.ipc as ipc
 import pytest
 
 from tessel import errors
+from tessel.functions.datum import aligned_chunks
+from tessel.operators.nested import emission
 from tessel.sources import builders
 from tessel.sources import ipc as source
 
@@ -105,3 +107,33 @@ def test_messages(spark, tmp_path):
         source.decode_schema(b"junk")
     with pytest.raises(errors.InvalidMetadata):
         source.decode_batch(spark, plain.schema.serialize().to_pybytes(), plain.schema)
+
+
+def test_offsets_of_32_bits_end(monkeypatch):
+    monkeypatch.setattr(builders, "LAST_OFFSET", 4)
+    for kind, value in ((pa.string(), "äb"), (pa.binary(), b"abc"), (pa.list_(pa.int8()), [1, 2, 3]), (pa.map_(pa.int8(), pa.int8()), {1: 1, 2: 2, 3: 3})):
+        b = builders.ColumnBuilder(kind)
+        b.append(value)
+        with pytest.raises(errors.OffsetOverflow):
+            b.append(value)
+        assert len(b) == 1 and len(b.finish_reset()) == 1
+        b.append(value)
+    large = builders.ColumnBuilder(pa.large_string())
+    large.extend(["abc", "abc"])
+    assert len(large) == 2
+
+
+def test_chunks_in_step():
+    a = pa.chunked_array([[1, 2], [], [3, 4, 5]], pa.int64())
+    b = pa.chunked_array([[6], [7, 8, 9, 10]], pa.int64())
+    found = [(at, x.to_pylist(), y.to_pylist()) for at, (x, y) in aligned_chunks(a, b)]
+    assert found == [(0, [1], [6]), (1, [2], [7]), (2, [3, 4, 5], [8, 9, 10])]
+    assert list(aligned_chunks(a[:0], b[:0])) == []
+    with pytest.raises(errors.InvalidInput):
+        list(aligned_chunks(a, b[:2]))
+
+
+def test_zeros_of_either_sign_are_two_dictionary_values(spark):
+    one, two = (spark.createDataFrame([(0, v)], "index long, value double") for v in (0.0, -0.0))
+    assert emission(one, one)[0] == "skip" and emission(two, two)[0] == "skip"
+    assert emission(one, two)[0] == "full"
