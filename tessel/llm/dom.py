@@ -13,10 +13,14 @@ SPACE = re.compile(r"\s+")
 
 # Element names by their treatment in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option canvas".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
+UNREAD = frozenset("template svg math object select datalist canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-CLOSES_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+CLOSES_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"optgroup"})}
+BREAKS_OUT = CLOSES_P - {"hr"}  # starts that end an unclosed element of LEFT_BY_BLOCKS
+LEFT_BY_BLOCKS = frozenset("svg math select datalist".split())
+BARE = frozenset({"#root", "html", "body"})
 SCOPES = frozenset("article aside body div footer form header main nav section table td th".split())
 
 
@@ -35,13 +39,20 @@ class Node:
 
 
 class Page:
-    """Elements in page order (nodes[0] is the root), and text blocks as (node, text)."""
+    """Elements in page order (nodes[0] is the root), and text blocks as (node, text).
+
+    A block that stands directly in the body (or outside of it) has a node "#text" of its own.
+    Elements of RAW are passed over to their end tags, or to the end of the page as in browsers;
+    those of UNREAD with all that is open in them, up to a tag that shows that they have ended.
+    """
 
     def __init__(self, source: str | None):
         self.nodes = [Node("#root", "", -1, 0, 0)]
         self.blocks: list[tuple[int, str]] = []
         self._open = [0]
         self._names: Counter = Counter()  # of the open elements
+        self._unread: list[str] = []  # open elements from one of UNREAD on
+        self._unread_names: Counter = Counter()
         self._text: list[str] = []
         self._owner = 0
         self._links = 0
@@ -66,8 +77,6 @@ class Page:
                 tag = tag.lower()
                 attrs = m["attrs"] or ""
                 if tag in RAW:
-                    if tag in ("svg", "math") and attrs.endswith("/"):
-                        continue
                     lower = s.lower() if lower is None else lower
                     if len(lower) != n:  # a lower case of another length would shift the places
                         end = re.compile(f"</{tag}", re.I).search(s, at)
@@ -76,13 +85,51 @@ class Page:
                         close = lower.find(f"</{tag}", at)
                     at = n if close < 0 else s.find(">", close) + 1 or n
                     continue
-                self._start(tag, attrs)
+                if not self._pass_start(tag, attrs):
+                    self._start(tag, attrs)
             elif tag := m["close"]:
-                self._end(tag.lower())
+                if not self._pass_end(tag := tag.lower()):
+                    self._end(tag)
         self._flush()
 
+    def _pass_start(self, tag: str, attrs: str) -> bool:
+        """Whether a start tag belongs to an element that isn't read."""
+        if self._unread:
+            if tag not in BREAKS_OUT or self._unread[0] not in LEFT_BY_BLOCKS or self._unread_names["foreignobject"]:
+                self._enter(tag, attrs)
+                return True
+            self._leave(0)
+        if tag in UNREAD:
+            self._enter(tag, attrs)
+            return True
+        return False
+
+    def _pass_end(self, tag: str) -> bool:
+        """Whether an end tag belongs to an element that isn't read."""
+        if not self._unread:
+            return False
+        if self._unread_names[tag]:
+            at = len(self._unread) - 1
+            while self._unread[at] != tag:
+                at -= 1
+            self._leave(at)
+            return True
+        if tag in INLINE or not self._names[tag]:
+            return True
+        self._leave(0)
+        return False
+
+    def _enter(self, tag: str, attrs: str) -> None:
+        if tag not in VOID and not attrs.endswith("/"):
+            self._unread.append(tag)
+            self._unread_names[tag] += 1
+
+    def _leave(self, depth: int) -> None:
+        self._unread_names.subtract(self._unread[depth:])
+        del self._unread[depth:]
+
     def _say(self, text: str) -> None:
-        if not self._text and not text.strip():
+        if self._unread or (not self._text and not text.strip()):
             return
         if not self._text:
             self._owner = self._block_owner()
@@ -100,6 +147,8 @@ class Page:
         if self._text:
             text = SPACE.sub(" ", html.unescape("".join(self._text))).strip()
             if text:
+                if self.nodes[self._owner].tag in BARE:
+                    self._owner = self._add("#text", "", self._owner)
                 self.blocks.append((self._owner, text))
                 node = self.nodes[self._owner]
                 node.chars += len(text)
@@ -117,13 +166,16 @@ class Page:
                 self._pop_to(*CLOSES_SAME[tag])
         elif tag == "br" and self._text:
             self._text.append(" ")
-        parent = self._open[-1]
+        added = self._add(tag, attrs, self._open[-1])
+        if tag not in VOID:
+            self._open.append(added)
+            self._names[tag] += 1
+
+    def _add(self, tag: str, attrs: str, parent: int) -> int:
         node = Node(tag, attrs, parent, self.nodes[parent].depth + 1, len(self.nodes[parent].children))
         self.nodes[parent].children.append(len(self.nodes))
         self.nodes.append(node)
-        if tag not in VOID:
-            self._open.append(len(self.nodes) - 1)
-            self._names[tag] += 1
+        return len(self.nodes) - 1
 
     def _close(self, depth: int) -> None:
         for k in self._open[depth:]:

@@ -8,7 +8,8 @@ blocks of the chosen elements are the result, in page order.
 
 Cases: null, empty and textless pages give an empty text; unclosed and misplaced tags are
 repaired as browsers do; a line break inside a block is white space; text that stands
-directly in the body counts only if nothing else does; rows that repeat a page_id, or have
+directly in the body is judged like an element, run by run; a page of which nothing else than
+such text would be left out whole keeps it; rows that repeat a page_id, or have
 none, each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,11 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessel.llm.common import columns, short_batches
-from tessel.llm.dom import INLINE, VOID, Page, attributes
+from tessel.llm.dom import BARE, INLINE, VOID, Page, attributes
 from tessel.llm.trees import BoostedTrees
 
-ALWAYS = frozenset({"#root", "html", "body"})
-
 TAG_GROUPS = [
     {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl", "menu"}, {"li", "dt", "dd"}, {"article"}, {"main"}, {"section"}, {"div"}, {"nav"}, {"header", "hgroup"}, {"footer"}, {"aside"},
     {"form", "fieldset", "button", "label", "input", "dialog"}, {"table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"figure", "figcaption"}, {"blockquote", "pre"},
@@ -100,7 +99,7 @@ def node_features(page: Page) -> tuple[list[int], np.ndarray]:
         up_bad, up_good = bad[k], good[k]
         bad[k] = bad[k] or node.tag in BAD_TAGS or hidden or any(flags[:10])
         good[k] = good[k] or node.tag in ("article", "main") or bool(flags[10])
-        if node.tag in INLINE or node.tag in VOID or node.tag in ALWAYS or not chars[k]:
+        if node.tag in INLINE or node.tag in VOID or node.tag in BARE or not chars[k]:
             continue
         siblings = nodes[node.parent].children
         if node.parent not in alike:
@@ -130,12 +129,12 @@ def decode(page: Page, judged: list[int], margins: np.ndarray) -> set[int]:
     outside[judged] = -np.logaddexp(0, margins)
     inside, outside = inside.tolist(), outside.tolist()
     for k in range(n - 1, 0, -1):  # children come after their parents
-        best = inside[k] if page.nodes[k].tag in ALWAYS else max(inside[k], outside[k])
+        best = inside[k] if page.nodes[k].tag in BARE else max(inside[k], outside[k])
         inside[page.nodes[k].parent] += best
         outside[page.nodes[k].parent] += outside[k]
     kept = {0}
     for k in range(1, n):
-        if page.nodes[k].parent in kept and (page.nodes[k].tag in ALWAYS or inside[k] >= outside[k]):
+        if page.nodes[k].parent in kept and (page.nodes[k].tag in BARE or inside[k] >= outside[k]):
             kept.add(k)
     return kept
 
@@ -150,8 +149,8 @@ def texts(sources: list[str | None], trees: BoostedTrees | None = None) -> list[
     for page, (judged, _) in zip(pages, found):
         kept = decode(page, judged, margins[at : at + len(judged)])
         at += len(judged)
-        blocks = [t for k, t in page.blocks if k in kept and page.nodes[k].tag not in ALWAYS]
-        out.append("\n".join(blocks or [t for k, t in page.blocks if page.nodes[k].tag in ALWAYS]))
+        blocks = [t for k, t in page.blocks if k in kept]
+        out.append("\n".join(blocks or [t for k, t in page.blocks if page.nodes[k].tag == "#text"]))
     return out
 
 

@@ -1,7 +1,8 @@
 """Fits the trees of ``pages`` on generated pages: ``python -m tessel.llm.pages_train``.
 
 The pages are drawn from a grammar of layouts. Elements of the article carry a mark that
-the features don't read; an element belongs if it or anything below it is marked.
+the features don't read, and runs of its text that stand directly in the body an invisible
+character; an element belongs if it or anything below it is marked.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from tessel.llm import pages, trees
 from tessel.llm.dom import Page
 
 MARK = ' data-y="1"'
+BARE_MARK = "\u2063"
 SYLLABLES = "an be co der el fi ga hu in jo ka lo mi no or pa qui ra se to un ve wi xo ya zu ent ing ion ous".split()
 
 
@@ -120,14 +122,20 @@ class Writer:
             return f"<div{MARK}>{self.prose()}</div>"
         return f"<p{MARK}>{self.words(1, 5)}</p>"
 
-    def article(self) -> str:
+    def bare(self) -> str:
+        """A run of the article's text outside of any element."""
+        return self.r.choice(["", "<br>", "<hr>"]) + BARE_MARK + self.prose(1, 6)
+
+    def article(self, bare: bool = False) -> str:
         title = f"<h1{MARK}>{self.words(1, 12) if self.r.random() < 0.8 else self.word()[:3]}</h1>" if self.r.random() < 0.85 else ""
         if title and self.r.random() < 0.15:
             title = f"<header{MARK}>{title}</header>"
-        parts = [self.block() for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 8, 12, 16, 24]))]
+        parts = [self.bare() if bare and self.r.random() < 0.7 else self.block() for _ in range(self.r.choice([1, 1, 2, 3, 4, 6, 8, 12, 16, 24]))]
         for _ in range(self.r.choice([0, 0, 0, 1, 1, 2, 3])):
             parts.insert(self.r.randint(0, len(parts)), self.r.choice([self.advert, self.share, self.notice, self.side, self.form, self.inline_junk])())
         inner = title + "".join(parts)
+        if bare:
+            return inner
         if self.r.random() < 0.25:
             inner = f"<div{MARK}{self.css('', 'content', 'body', 'entry', 'text')}>{inner}</div>"
         if self.r.random() < 0.12:
@@ -143,16 +151,23 @@ class Writer:
         if self.r.random() < 0.3:
             self.r.shuffle(top)
         end = [*some(0.25, self.side), *some(0.25, self.comments), *some(0.15, self.advert), *some(0.1, self.form), *some(0.85, self.footer)]
-        mid = [*some(0.1, self.side), self.article()]
+        bare = self.r.random() < 0.12
+        mid = [*some(0.1, self.side), self.article(bare)]
         if self.r.random() < 0.06:
             top, end = [], []
-        body = "".join(top) + (f"<div{MARK}{self.css('', 'wrap', 'container')}>" + "".join(mid) + "</div>" if self.r.random() < 0.3 else "".join(mid)) + "".join(end)
+        if self.r.random() < 0.15:  # loose words around the article
+            loose = self.r.choice([lambda: self.words(1, 4), lambda: f'<a href="/">{self.words(1, 3)}</a> | <a href="/">{self.word()}</a>', lambda: f"&copy; {self.words(1, 5)}"])()
+            (top if self.r.random() < 0.5 else end).append(loose)
+        wrapped = not bare and self.r.random() < 0.3
+        body = "".join(top) + (f"<div{MARK}{self.css('', 'wrap', 'container')}>" + "".join(mid) + "</div>" if wrapped else "".join(mid)) + "".join(end)
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}" + "</body></html>" * (self.r.random() < 0.9)
 
 
 def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
     page = Page(source)
     below = [MARK.strip() in n.attrs for n in page.nodes]
+    for k, text in page.blocks:
+        below[k] |= BARE_MARK in text
     for k in range(len(below) - 1, 0, -1):
         below[page.nodes[k].parent] |= below[k]
     judged, x = pages.node_features(page)
@@ -161,7 +176,7 @@ def labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
 
 def gold(source: str) -> str:
     page = Page(source)
-    return "\n".join(t for k, t in page.blocks if MARK.strip() in page.nodes[k].attrs)
+    return "\n".join(t for k, t in page.blocks if MARK.strip() in page.nodes[k].attrs or BARE_MARK in t)
 
 
 def main(count: int = 6000) -> None:

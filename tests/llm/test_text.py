@@ -74,6 +74,49 @@ def test_a_page_with_everything():
     assert pages.texts([PAGE]) == ["A & B\nFirst line, still first.\nSecond — one."]
 
 
+#: Pages written by hand, with their texts.
+GOLD = [
+    (
+        "<body><nav><a href=/>Home</a> <a href=/n>News</a></nav>This is the main article text, and it goes on for a while. It has more than one sentence."
+        "<p>Second paragraph of the same article, with words.</p></body>",
+        "This is the main article text, and it goes on for a while. It has more than one sentence.\nSecond paragraph of the same article, with words.",
+    ),
+    (
+        "<nav><ul><li><a href=/>Home</a></ul></nav><datalist><option value=a></datalist><article><h1>Title here</h1><p>The article is long enough, with two sentences. Here is the other.</p></article>",
+        "Title here\nThe article is long enough, with two sentences. Here is the other.",
+    ),
+    (
+        "<article><p>Icons <svg><path d=M0/><text>no</text></svg> inside a line stay out of it. So do they here.</p><canvas>no<p>none</p></canvas><p>The end of the article, finally.</p></article>",
+        "Icons inside a line stay out of it. So do they here.\nThe end of the article, finally.",
+    ),
+    (
+        "<article><p>Before the drawing that was never closed, there are words.</p><svg><g><path><p>After it, there are more words. They count.</p></article>",
+        "Before the drawing that was never closed, there are words.\nAfter it, there are more words. They count.",
+    ),
+    (
+        "<article><p>Choose one of these, please. They are all good.</p><select><option>One<option>Two</select><p>You have chosen well, have you not?</p></article>",
+        "Choose one of these, please. They are all good.\nYou have chosen well, have you not?",
+    ),
+    ("<body>Only bare text here.<br>And more of it.</body>", "Only bare text here. And more of it."),
+    (
+        "<body><header><h1>Site name</h1></header><main><h2>Heading</h2><p>First paragraph, of some length. It ends.</p><template><p>never</p></template>"
+        "<p>Second paragraph, of some length too.</p></main><footer>&copy; 2020 Someone</footer></body>",
+        "Heading\nFirst paragraph, of some length. It ends.\nSecond paragraph, of some length too.",
+    ),
+]
+
+
+@pytest.mark.parametrize("html, text", GOLD)
+def test_pages_written_by_hand(html, text):
+    assert pages.texts([html]) == [text]
+
+
+def test_bare_text_of_the_grammar():
+    sources = [s for k in range(600) if pages_train.BARE_MARK in (s := pages_train.Writer(6_000_000 + k).page())]
+    same = [a == pages_train.gold(s) for a, s in zip(pages.texts(sources), sources)]
+    assert len(same) > 40 and np.mean(same) > 0.85
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "<script>x", "<!-- never closed", "<p", "<>", "</p></p>"])
 def test_pages_without_text(html):
     assert pages.texts([html])[0] in ("", "<p", "<>")
@@ -184,8 +227,8 @@ def test_conversations_as_a_table(spark):
 
 @pytest.mark.parametrize(
     "page",
-    ["<p>some words here, and more.</p>" * 30_000, "<p>text</p>" + '<a href="' * 100_000, "<div>" * 500 + "x" + "</span></p></section>" * 30_000, "<b>" * 300 + "<p>word</p></i>" * 20_000],
-    ids=["flat", "unterminated", "unmatched", "nested"],
+    ["<p>some words here, and more.</p>" * 30_000, "<p>text</p>" + '<a href="' * 100_000, "<div>" * 500 + "x" + "</span></p></section>" * 30_000, "<b>" * 300 + "<p>word</p></i>" * 20_000, "<svg>" + "<g>" * 50_000 + "</p></i>" * 50_000, "bare words<br>" * 50_000, "<select><p>x" * 50_000],
+    ids=["flat", "unterminated", "unmatched", "nested", "unread", "bare", "broken out"],
 )
 def test_long_pages_take_seconds(page):
     import time
