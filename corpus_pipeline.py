@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import bpe, language, packing, shinglesets, substrings
-from tessel.llm.common import Written, plain, table
+from tessel.llm.common import Written, plain, settings, table
 
 
 #: Languages to keep (None: all that were learned), and the least score: below it the prediction is likelier wrong than right.
@@ -41,9 +41,18 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows that share an id stay or go together; rows without an id stay.
     """
     rows, names = plain(docs, doc_id="doc_id", text="text")
-    found = shinglesets.near_copies(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return rows.join(gone, rows["doc_id"].cast("long") == gone["gone_id"], "left_anti").toDF(*names)
+    # In their slots the texts are looked up and sorted out where they lie, and not shuffled.
+    lying = substrings.laid_out(rows, substrings.bucket_count(spark), by_split=True)
+    found = Written(shinglesets.near_copies(lying.df, slot_col="slot"), "near-copies", narrow=True)
+    gone = found.df.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = Written(found.df.select("slot", "doc_id").join(gone, "doc_id").select(F.col("slot").alias("gone_slot"), F.col("doc_id").alias("gone_id")).distinct(), "gone", narrow=True)
+    docs = lying.df
+    with settings(spark, **substrings.AS_THEY_LIE):
+        here = (docs["slot"] == F.col("gone_slot")) & (docs["doc_id"].cast("long") == F.col("gone_id"))
+        out = Written(docs.join(gone.df.hint("shuffle_hash"), here, "left_anti").select(*rows.columns), "without-near-copies")
+    for t in (lying, found, gone):
+        t.drop()
+    return out.df.toDF(*names)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,9 +14,14 @@ chance below 1e-5 (see ``most_bits``).
 First each set meets only one that shares a shingle: among the middles of its shingles' groups (the
 sets whose fingerprints are nearest to their group's majority) the nearest. Then those of one
 shingle meet that aren't joined yet, within the task that holds them, and only what they join
-leaves it, so no pairs are written. Copies are one
+leaves it, so no pairs are written. They meet twice: with the parities of their sets, a sixteenth
+of the bytes or so, which refute nearly all pairs that aren't similar and none that is; and those
+that are left with the whole sets. Shingles whose holders have the same first one meet in one
+place, so a set goes to few places however many shingles it shares. Copies are one
 set from the start.
 
+The documents lie in slots, as for operator 7, so texts aren't shuffled when sets are asked for.
+
 Cases: null and empty texts, and texts of white space, are the empty set and copies of each
 other; texts of fewer words than a shingle are one shingle; rows that repeat an id are one node
 of the components; rows without an id are left out; other columns are ignored.
@@ -33,9 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.llm.common import Written, columns, drawn_by_hash, short_batches
+from tessel.llm.common import Bucketed, Written, columns, drawn_by_hash, settings, short_batches
 from tessel.llm.components import components
 from tessel.llm.simhash import Union, majority, near_links
+from tessel.llm.substrings import AS_THEY_LIE, bucket_count, laid_out
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,6 +49,8 @@ SIMILARITY = 0.8
 SAMPLE, COMMON = 8192, 8
 #: Rows of a group in which shingles meet.
 GROUP = 200_000
+#: Bits of a set's parity for each of its shingles, at least.
+PARITY = 2
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -64,6 +72,50 @@ def marks(found: np.ndarray) -> tuple[int, int]:
     return tuple(pair.view(np.int64).tolist())
 
 
+def parity(found: np.ndarray) -> bytes:
+    """A bit for each remainder of the shingles by a power of two: whether an odd number of them has it.
+
+    Two sets' bits differ in no more places than there are shingles that one of them has alone.
+    """
+    bits = max(64, 1 << (PARITY * len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Parities of sets, by the number of their words of 64 bits."""
+
+    def __init__(self, held: list[bytes]):
+        self.size = np.array([len(b) // 8 for b in held], np.int64)
+        self.at, self.rows = np.zeros(len(held), np.int64), {}
+        for s in np.unique(self.size).tolist():
+            same = np.flatnonzero(self.size == s)
+            self.at[same] = np.arange(len(same))
+            self.rows[s] = np.frombuffer(b"".join(held[k] for k in same.tolist()), np.uint64).reshape(-1, s)
+
+    @staticmethod
+    def _folded(rows: np.ndarray, words: int) -> np.ndarray:
+        while rows.shape[-1] > words:
+            half = rows.shape[-1] // 2
+            rows = rows[..., :half] ^ rows[..., half:]
+        return rows
+
+    def apart(self, x: int, y: np.ndarray) -> np.ndarray:
+        """For each of y the least number of shingles that only one of the two sets has."""
+        out = np.zeros(len(y), np.int64)
+        own = self.rows[int(self.size[x])][self.at[x]]
+        for s in np.unique(self.size[y]).tolist():
+            same = self.size[y] == s
+            words = min(s, len(own))
+            out[same] = np.bitwise_count(self._folded(self.rows[s][self.at[y[same]]], words) ^ self._folded(own, words)).sum(axis=1)
+        return out
+
+
+def most_apart(n, m, threshold: float):
+    """Shingles that only one of two sets of these sizes has, if their similarity is at least the threshold."""
+    return (n + m) * (1 - threshold) / (1 + threshold) + 1e-6
+
+
 def most_bits(threshold: float) -> int:
     """Bits of 128 in which two sets of this similarity hardly ever differ more.
 
@@ -111,14 +163,14 @@ def _heads(rows: DataFrame, shingle: int, threshold: float, sample: int) -> Data
             k1, k2, n, f1, f2, heads = zip(*out) if out else ((), (), (), (), (), ())
             longs = [pa.array(c, pa.int64()) for c in (k1, k2, f1, f2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *longs, pa.array(n, pa.int32()), pa.array(list(heads), pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "f1", "f2", "n", "head"]
+                [batch.column(2), batch.column(0), *longs, pa.array(n, pa.int32()), pa.array(list(heads), pa.list_(pa.int64()))], names=["slot", "doc_id", "k1", "k2", "f1", "f2", "n", "head"]
             )
 
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, f1 long, f2 long, n int, head array<long>")
+    return rows.mapInArrow(run, "slot int, doc_id long, k1 long, k2 long, f1 long, f2 long, n int, head array<long>")
 
 
-def shared(sets: DataFrame) -> DataFrame:
-    """token, rep, n: the heads' shingles that more than one set has in its head."""
+def shared(sets: DataFrame, total: int) -> DataFrame:
+    """token, rep: the heads' shingles, about total ones, that more than one set has in its head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -133,9 +185,8 @@ def shared(sets: DataFrame) -> DataFrame:
         yield from whole.filter(pa.array(keep)).to_batches()
 
     short_batches(sets.sparkSession, 20_000)
-    total = sets.agg(F.sum(F.size("head"))).first()[0] or 0
-    rows = sets.select(F.explode("head").alias("token"), "rep", "n")
-    return rows.repartition(total // GROUP + 1, "token").mapInArrow(run, "token long, rep long, n int")
+    rows = sets.select(F.explode("head").alias("token"), "rep")
+    return rows.repartition(total // GROUP + 1, "token").mapInArrow(run, "token long, rep long")
 
 
 def fingerprint_pairs(sets: DataFrame) -> DataFrame:
@@ -200,7 +251,7 @@ def star_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def unsettled(rows: DataFrame, threshold: float) -> DataFrame:
-    """group and the columns of rows: sets that meet one of another component there which may be similar."""
+    """The columns of rows and lead: sets that meet one of another component there which may be similar; lead: the first of those that meet."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = Group(pdf, threshold)
@@ -213,36 +264,69 @@ def unsettled(rows: DataFrame, threshold: float) -> DataFrame:
                 if len(y):
                     hit[x] = True
                     hit[y] = True
+        lead = np.repeat(np.minimum.reduceat(np.where(hit, g.rep, np.iinfo(np.int64).max), g.first), g.size)
         found = {c: getattr(g, c)[hit] for c in ("token", "rep", "n", "comp")} | {c: getattr(g, c)[hit].view(np.int64) for c in ("f1", "f2")}
-        return pd.DataFrame({"group": np.full(int(hit.sum()), pdf["group"].iloc[0])} | found, dtype=np.int64)
+        return pd.DataFrame(found | {"lead": lead[hit]}, dtype=np.int64)
 
-    return grouped(rows).applyInPandas(run, "group long, token long, rep long, n long, comp long, f1 long, f2 long")
+    return grouped(rows).applyInPandas(run, "token long, rep long, n long, comp long, f1 long, f2 long, lead long")
 
 
-def joined_sets(rows: DataFrame, left: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """a, b: components that similar sets join; left: what ``unsettled`` gives. Sets meet in their group, and no pair leaves it."""
+class Meeting:
+    """Sets with the shingles they hold at one place."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, pdf: pd.DataFrame, threshold: float):
         tokens = pdf["held"].to_list()
-        docs = pdf.drop(columns=["held", "tokens"]).assign(doc=np.arange(len(pdf)), token=0)
+        docs = pdf[["rep", "n", "comp", "f1", "f2"]].reset_index(drop=True).assign(doc=np.arange(len(pdf)), token=0)
         spread = docs.loc[np.repeat(docs.index, [len(t) for t in tokens])].assign(token=np.concatenate(tokens))
-        g = Group(spread, threshold)
-        doc = spread["doc"].to_numpy()[np.lexsort((spread["rep"].to_numpy(), np.zeros(len(spread)), spread["token"].to_numpy()))]
-        sets = [np.asarray(t, np.int64) for t in pdf["tokens"]]
-        names, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
-        union = Union(len(names))
+        self.group = Group(spread, threshold)
+        self.doc = spread["doc"].to_numpy()[np.lexsort((spread["rep"].to_numpy(), np.zeros(len(spread)), spread["token"].to_numpy()))]
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each set, and the later ones of other components that it shares a shingle with and may link to."""
+        g, doc = self.group, self.doc
         segment = np.repeat(np.arange(len(g.first)), g.size)
         places: dict[int, list[int]] = {}
         for at, d in enumerate(doc.tolist()):
             places.setdefault(d, []).append(at)
         for d, spots in places.items():
             near = np.unique(doc[np.concatenate([np.arange(at + 1, g.first[segment[at]] + g.size[segment[at]]) for at in spots])])
-            if not len(near):
-                continue
-            one = np.array([places[k][0] for k in near.tolist()])
+            if len(near):
+                one = np.array([places[k][0] for k in near.tolist()])
+                near = near[g.may_link(spots[0], one)]
+                if len(near):
+                    yield d, near
+
+
+def unrefuted(left: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """place, rep, n, comp, f1, f2, held: the sets and shingles of ``unsettled`` at the places where they meet one whose parity allows that it is similar."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        many, parities = pdf["many"].to_numpy().astype(np.int64), Parities(pdf["parity"].to_list())
+        hit = np.zeros(len(pdf), bool)
+        for d, near in Meeting(pdf, threshold):
+            near = near[parities.apart(d, near) <= most_apart(many[d], many[near], threshold)]
+            if len(near):
+                hit[d] = True
+                hit[near] = True
+        return pdf.loc[hit, ["place", "rep", "n", "comp", "f1", "f2", "held"]]
+
+    short_batches(left.sparkSession, 20_000)
+    placed = left.withColumn("place", F.pmod(F.xxhash64("lead"), F.lit(left.count() // GROUP + 1)))
+    once = placed.groupBy("place", "rep", "n", "comp", "f1", "f2").agg(F.collect_list("token").alias("held"))
+    known = once.join(sets.select(F.col("id").alias("rep"), "many", "parity"), "rep")
+    return known.groupBy("place").applyInPandas(run, "place long, rep long, n long, comp long, f1 long, f2 long, held array<long>")
+
+
+def joined_sets(sets: DataFrame, left: DataFrame, threshold: float) -> DataFrame:
+    """a, b: components that similar sets join; left: what ``unrefuted`` gives. Sets meet at their place, and no pair leaves it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(t, np.int64) for t in pdf["tokens"]]
+        names, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        union = Union(len(names))
+        for d, near in Meeting(pdf, threshold):
             roots = union.roots()
-            near = near[g.may_link(spots[0], one) & (roots[comp[near]] != roots[comp[d]])]
-            for k in near.tolist():
+            for k in near[roots[comp[near]] != roots[comp[d]]].tolist():
                 both = len(np.intersect1d(sets[d], sets[k], assume_unique=True))
                 if both >= threshold * (len(sets[d]) + len(sets[k]) - both) - 1e-9:
                     union.join(comp[[d]], comp[[k]])
@@ -250,29 +334,45 @@ def joined_sets(rows: DataFrame, left: DataFrame, shingle: int, threshold: float
         moved = np.flatnonzero(roots != np.arange(len(names)))
         return pd.DataFrame({"a": names[roots[moved]], "b": names[moved]}, dtype=np.int64)
 
-    sets = Written(_sets_of(rows, left.select(F.col("rep").alias("id")).distinct(), shingle), "unsettled-sets")
-    once = left.groupBy("group", "rep", "n", "comp", "f1", "f2").agg(F.collect_list("token").alias("held"))
-    whole = once.join(sets.df.withColumnRenamed("id", "rep"), "rep")
-    found = Written(whole.groupBy("group").applyInPandas(run, "a long, b long"), "joined-sets", narrow=True).df
-    sets.drop()
-    return found
+    whole = left.join(sets.select(F.col("id").alias("rep"), "tokens"), "rep")
+    return Written(whole.groupBy("place").applyInPandas(run, "a long, b long"), "joined-sets", narrow=True).df
 
 
-def _sets_of(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, tokens: the whole sets of these documents."""
+def _of_sets(rows: DataFrame, ids: DataFrame, prints: DataFrame, shingle: int, name: str, whole: bool) -> Written:
+    """id, and the tokens of these documents' sets, or else how many they are and their parity; the texts are looked up in their slots."""
+    schema = "id long, tokens array<long>" if whole else "id long, many int, parity binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "tokens"])
+            found = [shingles(t, shingle) for t in batch.column(1).to_pylist()]
+            if whole:
+                made = {"tokens": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))}
+            else:
+                made = {"many": pa.array([len(x) for x in found], pa.int32()), "parity": pa.array([parity(x) for x in found], pa.binary())}
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], names=["id", *made])
+
+    spark = rows.sparkSession
+    short_batches(spark)
+    slots = prints.groupBy(F.col("rep").alias("id")).agg(F.min("slot").alias("slot"))
+    wanted = Written(ids.join(slots, "id").select("slot", F.col("id").alias("doc_id")), "candidates", narrow=True).df
+    with settings(spark, **AS_THEY_LIE):
+        texts = rows.join(wanted.hint("shuffle_hash"), ["slot", "doc_id"]).dropDuplicates(["slot", "doc_id"])
+        return Written(texts.select("doc_id", "text").mapInArrow(run, schema), name)
+
 
-    short_batches(rows.sparkSession)
-    ids = Written(ids, "candidates", narrow=True).df
-    return rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, tokens array<long>")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def settled(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs whose whole sets are similar."""
+def settled(rows: DataFrame, pairs: DataFrame, prints: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs whose whole sets are similar; parities refute most of the others before sets move."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y, p, q = (batch.column(k) for k in range(6))
+            n, held = batch.num_rows, Parities(p.to_pylist() + q.to_pylist())
+            apart = np.array([held.apart(k, np.array([n + k]))[0] for k in range(n)], np.int64)
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(apart <= most_apart(x.to_numpy(), y.to_numpy(), threshold), pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,32 +383,57 @@ def settled(rows: DataFrame, pairs: DataFrame, shingle: int, threshold: float) -
                 keep.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = Written(_sets_of(rows, ids, shingle), "candidate-sets")
+    odd = _of_sets(rows, _ends(pairs), prints, shingle, "candidate-parities", whole=False)
+    one, two = odd.df.toDF("a", "x", "p"), odd.df.toDF("b", "y", "q")
+    likely = Written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "p", "q").mapInArrow(allowed, "a long, b long"), "likely-pairs", narrow=True)
+    odd.drop()
+    sets = _of_sets(rows, _ends(likely.df), prints, shingle, "candidate-sets", whole=True)
     one, two = sets.df.toDF("a", "x"), sets.df.toDF("b", "y")
-    links = Written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar", narrow=True).df
+    links = Written(likely.df.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "similar", narrow=True).df
     sets.drop()
+    likely.drop()
     return links
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, shingle: int = SHINGLE, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, component_id (smallest id reachable through pairs of at least this similarity)."""
-    short_batches(docs.sparkSession)
-    rows = columns(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    heads = Written(_heads(rows, shingle, threshold, sample), "shingle-heads").df
-    reps = Written(heads.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "shingle-classes", narrow=True).df
-    sets = Written(heads.join(reps, ["k1", "k2"]).where("doc_id = rep and n > 0").select("rep", "n", "f1", "f2", "head"), "shingle-sets")
-    prints = Written(sets.df.select("rep", "f1", "f2"), "set-fingerprints", narrow=True).df
-    met = shared(sets.df).join(prints, "rep")
-    meet = Written(met.select("token", "rep", "n", "f1", "f2"), "shared-shingles").df
-    sets.drop()
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY, shingle: int = SHINGLE, slot_col: str | None = None, sample: int = SAMPLE
+) -> DataFrame:
+    """doc_id, component_id (smallest id reachable through pairs of at least this similarity).
+
+    slot_col: docs is a table that lies in buckets by this column, as ``laid_out`` makes it; the result has it too, as slot.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    lying = None
+    if slot_col is None:
+        lying = laid_out(columns(docs, doc_id=id_col, text=text_col).where("doc_id is not null"), bucket_count(spark), by_split=True)
+        docs, id_col, text_col, slot_col = lying.df, "doc_id", "text", "slot"
+    rows = columns(docs, doc_id=id_col, text=text_col, slot=slot_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "slot").where("doc_id is not null")
+    heads = Bucketed(_heads(rows, shingle, threshold, sample), "shingle_heads", bucket_count(spark), ["slot"], sort=False)
+    keys = Written(heads.df.select("slot", "doc_id", "k1", "k2"), "set-keys").df
+    first = keys.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "slot")).alias("first"))
+    reps = Written(first.select("k1", "k2", F.col("first.doc_id").alias("rep"), F.col("first.slot").alias("slot")), "shingle-classes", narrow=True).df
+    with settings(spark, **AS_THEY_LIE):
+        sets = heads.df.withColumnRenamed("doc_id", "rep").where("n > 0").join(reps.hint("shuffle_hash"), ["slot", "rep", "k1", "k2"])
+        prints = Written(sets.select("slot", "rep", "n", "f1", "f2", F.size("head").alias("heads")), "set-fingerprints", narrow=True).df
+        met = shared(sets, prints.agg(F.sum("heads")).first()[0] or 0).join(prints, "rep")
+        meet = Written(met.select("token", "rep", "n", "f1", "f2"), "shared-shingles").df
+    heads.drop()
     pairs = Written(star_pairs(meet.withColumn("comp", F.col("rep")), threshold).unionByName(fingerprint_pairs(prints)).distinct(), "candidate-pairs", narrow=True)
-    links = settled(rows, pairs.df, shingle, threshold)
+    links = settled(rows, pairs.df, prints, shingle, threshold)
     pairs.drop()
     joined = components(links)
     apart = meet.join(joined, meet["rep"] == joined["node"], "left").select("token", "rep", "n", "f1", "f2", F.coalesce("component", "rep").alias("comp"))
-    left = Written(unsettled(apart, threshold), "unsettled", narrow=True)
-    links = links.unionByName(joined_sets(rows, left.df, shingle, threshold))
-    whole = components(links)
-    ends = Written(reps.join(whole, reps["rep"] == whole["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "shingle-components", narrow=True).df
-    return heads.select("doc_id", "k1", "k2").join(ends, ["k1", "k2"]).select("doc_id", "component_id")
+    left = Written(unsettled(apart, threshold), "unsettled", narrow=True).df
+    odd = _of_sets(rows, left.select(F.col("rep").alias("id")).distinct(), prints, shingle, "unsettled-parities", whole=False)
+    close = Written(unrefuted(left, odd.df, threshold), "unrefuted", narrow=True).df
+    odd.drop()
+    sets = _of_sets(rows, close.select(F.col("rep").alias("id")).distinct(), prints, shingle, "unsettled-sets", whole=True)
+    links = links.unionByName(joined_sets(sets.df, close, threshold))
+    sets.drop()
+    if lying is not None:
+        lying.drop()
+    ends = components(links)
+    ends = Written(reps.join(ends, reps["rep"] == ends["node"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "shingle-components", narrow=True).df
+    found = keys.join(ends, ["k1", "k2"])
+    return found.select("doc_id", "component_id") if lying is not None else found.select("doc_id", "component_id", "slot")

@@ -92,6 +92,80 @@ def test_near_dedup_equals_brute_force(spark, monkeypatch, sample):
     assert 60 <= len(want) < len(rows) - 20
 
 
+def near_misses(long_words: bool = False):
+    """Families of texts whose five-word Jaccard similarity is about 0.6 to the first, and two true copies among them."""
+    r = random.Random(11)
+    rows = []
+    for f in range(20):
+        first = [f"{'langes' * 6 if long_words else ''}wort{r.randrange(10**6)}" for _ in range(200)]
+        rows.append(first)
+        for _ in range(4):
+            text = list(first)
+            for at in r.sample(range(3, 200, 7), 10):
+                text[at] = f"neu{r.randrange(10**6)}"
+            rows.append(text)
+    rows.append(rows[7][:-1] + ["anders"])
+    rows.append([*rows[31], "mehr"])
+    return [(d, " ".join(t)) for d, t in enumerate(rows)]
+
+
+def test_near_misses_are_refuted_before_their_sets_move(spark, monkeypatch):
+    from tessel.llm import shinglesets
+
+    moved = []
+    plain = shinglesets.joined_sets
+    monkeypatch.setattr(shinglesets, "joined_sets", lambda *a: (moved.append(a[1].select("rep").distinct().count()), plain(*a))[1])
+    rows = near_misses()
+    found = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert {r["doc_id"] for r in found.collect()} == kept_by_brute_force(rows) == set(range(100))
+    assert moved == [0]
+
+
+def test_parities_bound_what_sets_have_alone():
+    import numpy as np
+    from tessel.llm import shinglesets
+
+    r = np.random.default_rng(5)
+    refuted = 0
+    for _ in range(300):
+        both, alone = r.integers(0, 400), r.integers(0, 120, 2)
+        x = r.integers(0, 1 << 63, both + alone.sum(), dtype=np.uint64)
+        a, b = x[: both + alone[0]], np.concatenate((x[:both], x[both + alone[0] :]))
+        held = shinglesets.Parities([shinglesets.parity(a), shinglesets.parity(b), shinglesets.parity(a)])
+        apart = held.apart(0, np.array([1, 2])).tolist()
+        assert apart[0] <= alone.sum() and apart[1] == 0
+        assert held.apart(1, np.array([0])).tolist() == apart[:1]
+        allowed = apart[0] <= shinglesets.most_apart(len(a), len(b), 0.8)
+        assert allowed or both < 0.8 * len(x)
+        refuted += not allowed
+    assert refuted > 100
+    assert shinglesets.parity(np.zeros(0, np.uint64)) == bytes(8)
+
+
+def test_near_dedup_shuffles_no_texts(spark):
+    def shuffled():
+        jvm = spark._jvm
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    rows = near_misses(long_words=True)
+    rows = [(d + len(rows) * k, t.replace("wort", f"{chr(97 + k) * 3}")) for k in range(10) for d, t in rows]
+    docs = spark.createDataFrame([(d, t, random.Random(d).randbytes(20_000)) for d, t in rows], "doc_id long, text string, other binary").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = docs.localCheckpoint()
+        start = shuffled()
+        out = corpus_pipeline.simhash_near_dedup(spark, docs, "")
+        out.write.format("noop").mode("overwrite").save()
+        moved = shuffled() - start
+        assert out.count() == 1000
+        assert moved < 0.5 * 20_000 * len(rows), moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark).limit(0), "").count() == 0
